@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from labelwatch.functions.numeric import count_if, d, r6
+from labelwatch.operators.profiling import missing_counts
 
 RATE_TOLERANCE = 0.01
 LABEL_POLICIES = ("merge", "drop")
@@ -118,12 +119,15 @@ def leakfree_features(all_features: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def shared_names(a: DataFrame, b: DataFrame, minimum: int = 3) -> DataFrame:
-    """Case-insensitive intersection of two (column_name) tables."""
-    left = a.select(F.lower("column_name").alias("name"), F.col("column_name").alias("name_a"))
-    right = b.select(F.lower("column_name").alias("name"), F.col("column_name").alias("name_b"))
-    both = left.join(right, "name")
-    # names of one schema: a handful of rows decides the gate
-    n = both.count()
-    if n < minimum:
-        raise ValueError(f"only {n} shared feature names, at least {minimum} are needed")
-    return both
+    """Column names two tables share whatever their case, with each side's missing cells."""
+    names_b = {c.lower() for c in b.columns}
+    shared = [c for c in a.columns if c.lower() in names_b]
+    if len(shared) < minimum:
+        raise ValueError(f"only {len(shared)} shared feature names, at least {minimum} are needed")
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return missing_counts(df, tag).select(
+            F.lower("column_name").alias("name"), F.col("column_name").alias(f"name_{tag}"),
+            F.col("n_missing").alias(f"n_missing_{tag}"))
+
+    return side(a, "a").join(side(b, "b"), "name")

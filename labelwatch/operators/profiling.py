@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from labelwatch.functions.numeric import count_if, d, r6
 from labelwatch.sources.views import LabelledTable
@@ -25,10 +24,10 @@ def raw_class_counts(df: DataFrame, label: str, name: str) -> DataFrame:
     """Raw label values with count and percent; a missing label is a value of its own."""
     counts = df.groupBy(F.coalesce(F.col(label).cast("string"), F.lit("<missing>")).alias("raw_label")).agg(
         F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return (counts.join(F.broadcast(total))  # one row
-                  .select(F.lit(name).alias("dataset"), "raw_label", "n",
-                          r6(100.0 * d("n") / d("total")).alias("percent")))
+    # one row per raw label value
+    total = F.sum("n").over(Window.partitionBy(F.lit(name)))
+    return counts.select(F.lit(name).alias("dataset"), "raw_label", "n",
+                         r6(100.0 * d("n") / d(total)).alias("percent"))
 
 
 def dataset_profile(df: DataFrame, label: str, name: str) -> DataFrame:
@@ -51,24 +50,17 @@ def shape_check(df: DataFrame, name: str, rows: int, features: int, label_column
         ((F.col("n_rows") == rows) & F.lit(found == features)).alias("matches"))
 
 
-def column_kinds(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The schema as a table (column_name, position, column_type, is_numeric)."""
-    rows = [(f.name, i, f.dataType.simpleString(), isinstance(f.dataType, NumericType))
-            for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "column_name string, position int, column_type string, is_numeric boolean")
+def feature_inventory(catalogue: DataFrame, df: DataFrame, label: str, retained: Sequence[str],
+                      name: str, reasons: Mapping[str, str] | None = None) -> DataFrame:
+    """Every column of the catalogue or the delivery, what became of it and how full it is.
 
-
-def feature_inventory(catalogue: DataFrame, delivered: DataFrame, label: str,
-                      retained: Sequence[str], name: str, reasons: Mapping[str, str] | None = None) -> DataFrame:
-    """Every column of the catalogue or the delivery, and what became of it.
-
-    ``catalogue`` is (column_name, role, declared_type), ``delivered`` comes from
-    ``column_kinds``; a column on one side only still gets its row.
+    ``catalogue`` is (column_name, role, declared_type); a column known to one
+    side only still gets its row.
     """
-    why = {k: v for k, v in (reasons or {}).items()}
-    pairs = [F.lit(x) for kv in why.items() for x in kv]
+    pairs = [F.lit(x) for kv in (reasons or {}).items() for x in kv]
     given = F.create_map(*pairs)[F.col("column_name")] if pairs else F.lit(None).cast("string")
-    both = catalogue.join(delivered.select("column_name", F.lit(True).alias("in_delivery")), "column_name", "full")
+    delivered = missing_counts(df, name).select("column_name", "n_missing", F.lit(True).alias("in_delivery"))
+    both = catalogue.join(delivered, "column_name", "full")
     status = (F.when(F.col("in_delivery").isNull(), "not_delivered")
                .when(F.col("column_name") == label, "label")
                .when(F.col("column_name").isin(list(retained)), "retained").otherwise("dropped"))
@@ -80,7 +72,8 @@ def feature_inventory(catalogue: DataFrame, delivered: DataFrame, label: str,
     return both.withColumn("status", status).select(
         F.lit(name).alias("dataset"), "column_name", F.coalesce("in_delivery", F.lit(False)).alias("in_delivery"),
         F.coalesce("role", F.lit("<unknown>")).alias("role"),
-        F.coalesce("declared_type", F.lit("<unknown>")).alias("declared_type"), "status", reason.alias("reason"))
+        F.coalesce("declared_type", F.lit("<unknown>")).alias("declared_type"),
+        F.coalesce("n_missing", F.lit(-1)).alias("n_missing"), "status", reason.alias("reason"))
 
 
 def inventory_counts(inventory: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import count_if, d, r6, ratio
 from labelwatch.operators.ordering import auto_cuts, cumulate
+from labelwatch.sources.tables import local_table
 from labelwatch.sources.views import LabelledTable
 
 MAX_DEPTH = 3
@@ -80,7 +81,7 @@ def grow(counts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
             mixed = [n for n in level if n["n0"] and n["n1"]]
             leaves += [n for n in level if not (n["n0"] and n["n1"])]
             cuts = {(c["feature"], c["node"]): c
-                    for c in (_best_cuts(run, spark.createDataFrame(mixed, NODE)) if mixed else [])}
+                    for c in (_best_cuts(run, local_table(spark, mixed, NODE)) if mixed else [])}
             level = []
             for n in mixed:
                 cut = cuts.get((n["feature"], n["node"]))
@@ -91,7 +92,7 @@ def grow(counts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
         leaves += level
     finally:
         run.unpersist()
-    return spark.createDataFrame(leaves, NODE).select(
+    return local_table(spark, leaves, NODE).select(
         "feature", "node", "above", "upto", "n0", "n1",
         (F.col("n1") > F.col("n0")).cast("int").alias("prediction"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 FORMATS = ("parquet", "csv", "json")
@@ -43,3 +45,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     else:
         writer.format(fmt).save(path)
     return read_table(df.sparkSession, path, fmt, None if fmt == "parquet" else df.schema)
+
+
+def local_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A model-sized table (parameters, grids, expectations) as a local relation.
+
+    Arrow keeps it a literal in the plan: the optimiser knows its size and no
+    Python-side RDD is scanned each time it is used.
+    """
+    parsed = StructType.fromDDL(schema)
+    arrow = pa.Table.from_pylist(rows, schema=to_arrow_schema(parsed))
+    return spark.createDataFrame(arrow, parsed)
