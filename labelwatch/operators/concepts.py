@@ -67,7 +67,7 @@ def concept_project(df: DataFrame, rules: Mapping[str, tuple[Sequence[str], Colu
 
 
 def concept_loss(sources: DataFrame, survivors: DataFrame) -> DataFrame:
-    """Which concepts lose EVERY source column once only the survivors are left.
+    """Which concepts can still be expressed: every one of their source columns must survive.
 
     ``sources`` is (concept, feature), ``survivors`` is (feature).
     """
