@@ -1,7 +1,5 @@
 """Registered label-leakage queries."""
 
-from functools import reduce
-
 from labelwatch.operators import leakage as lk
 from labelwatch.operators import stumps
 from labelwatch.operators.splitting import stratified_split
@@ -10,8 +8,7 @@ from labelwatch.sources import views as v
 
 def tree_scores(spark, folder):
     """Single-feature tree scores of every audited view."""
-    parts = [stumps.single_feature_tree(stratified_split(view(spark, folder))) for view in v.VIEWS.values()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return stumps.single_feature_tree([stratified_split(view(spark, folder)) for view in v.VIEWS.values()])
 
 
 QUERIES = {
@@ -24,8 +21,8 @@ QUERIES = {
     "separation_type": lambda s, p: lk.separation_type(v.planted(s, p)),
     "class_histogram": lambda s, p: lk.class_histogram(v.line_returned(s, p)),
     "class_histogram_clipped": lambda s, p: lk.class_histogram(v.line_returned(s, p), 44, (0.005, 0.995)),
-    "single_feature_tree": lambda s, p: stumps.single_feature_tree(stratified_split(v.planted(s, p))),
-    "single_feature_tree_lines": lambda s, p: stumps.single_feature_tree(stratified_split(v.line_returned(s, p))),
+    "single_feature_tree": lambda s, p: stumps.single_feature_tree([stratified_split(v.planted(s, p))]),
+    "single_feature_tree_lines": lambda s, p: stumps.single_feature_tree([stratified_split(v.line_returned(s, p))]),
     "mutual_information": lambda s, p: lk.mutual_information(v.line_returned(s, p)),
     "mutual_information_planted": lambda s, p: lk.mutual_information(v.planted(s, p)),
     "near_oracle_count": lambda s, p: lk.near_oracle_count(tree_scores(s, p)),

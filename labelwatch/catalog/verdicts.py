@@ -19,7 +19,7 @@ def union(parts):
 
 
 def curves(s, p):
-    return union([removal.progressive_removal_single(view(s, p)) for view in v.VIEWS.values()])
+    return removal.progressive_removal_single([view(s, p) for view in v.VIEWS.values()])
 
 
 def all_features(s, p):
@@ -34,7 +34,7 @@ def policy_curves(s, p):
     both = labels.label_policy(base.frame.drop("label").join(status, "id"), "o_orderstatus", "F", "P")
     merged = replace(base, frame=both.filter("policy = 'merge'"), name="orders")
     dropped = replace(base, frame=both.filter("policy = 'drop'"), name="orders__intermediate_dropped")
-    return removal.screen_rows(union([removal.progressive_removal_single(t) for t in (merged, dropped)]))
+    return removal.screen_rows(removal.progressive_removal_single([merged, dropped]))
 
 
 def expected_verdicts(s, p):

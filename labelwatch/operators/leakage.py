@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import count_if, d, r6, ratio
 from labelwatch.operators.ordering import auto_cuts, cumulate
-from labelwatch.sources.views import LabelledTable
+from labelwatch.sources.views import LabelledTable, pooled_long
 
 # Fixed values of the audit protocol.
 NEAR_ORACLE_ACCURACY = 0.95
@@ -144,6 +144,14 @@ def threshold_columns(keys: Sequence[str], run: DataFrame) -> DataFrame:
         F.col("fn").alias("positives_on_negative_side"))
 
 
+def pooled_thresholds(tables: Sequence[LabelledTable]) -> DataFrame:
+    """``best_threshold`` of several tables in one plan, keyed by (dataset, feature)."""
+    keys = ["dataset", "feature"]
+    counts = pooled_long(tables).groupBy(*keys, "value").agg(
+        count_if(F.col("label") == 0).alias("n0"), count_if(F.col("label") == 1).alias("n1"))
+    return threshold_columns(keys, _run(counts, keys))
+
+
 def best_threshold(table: LabelledTable) -> DataFrame:
     """Single cut per feature maximising balanced accuracy.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import count_if, d, r6
-from labelwatch.operators.leakage import NEAR_ORACLE_ACCURACY, best_threshold
+from labelwatch.operators.leakage import NEAR_ORACLE_ACCURACY, pooled_thresholds
 from labelwatch.sources.views import LabelledTable
 
 # Fixed values of the audit protocol.
@@ -37,19 +37,18 @@ def _stop(rows: DataFrame, target: float, max_removed: int) -> DataFrame:
                 .filter(F.col("_low").isNull() | (F.col("_low") >= target)).drop("_low"))
 
 
-def progressive_removal_single(table: LabelledTable, target: float = TARGET_ACCURACY,
+def progressive_removal_single(tables: Sequence[LabelledTable], target: float = TARGET_ACCURACY,
                                max_removed: int = MAX_REMOVED) -> DataFrame:
     """The greedy loop with single-cut rules instead of a model, without a loop.
 
     With rules that never change when others go, the feature removed at step i
     is simply the i-th best, so one ranking replaces max_removed fits.
     """
-    rules = best_threshold(table)
     order = Window.partitionBy("dataset").orderBy(F.desc("balanced_accuracy"), "feature")
-    ranked = rules.withColumn("dataset", F.lit(table.name)).withColumn(
-        "iteration", F.row_number().over(order) - 1)
-    rows = ranked.select(
-        "dataset", "iteration", (F.lit(len(table.features)) - F.col("iteration")).alias("n_features"),
+    whole = Window.partitionBy("dataset")
+    # one row per (dataset, feature)
+    rows = pooled_thresholds(tables).withColumn("iteration", F.row_number().over(order) - 1).select(
+        "dataset", "iteration", (F.count(F.lit(1)).over(whole) - F.col("iteration")).cast("int").alias("n_features"),
         F.col("feature").alias("top_feature"), "accuracy", "balanced_accuracy", "f1")
     return removed_marks(_stop(rows, target, max_removed), target, max_removed)
 

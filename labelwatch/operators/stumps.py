@@ -8,23 +8,29 @@ joins the small node table, scores all cuts and keeps the best per node.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import count_if, d, r6, ratio
+from labelwatch.operators.leakage import mutual_information
 from labelwatch.operators.ordering import auto_cuts, cumulate
 from labelwatch.sources.tables import local_table
-from labelwatch.sources.views import LabelledTable
+from labelwatch.sources.views import LabelledTable, pooled_long
 
 MAX_DEPTH = 3
 LOW, HIGH = float("-inf"), float("inf")
 
 
-def split_value_counts(table: LabelledTable, split_col: str = "split") -> DataFrame:
-    """Class counts per (feature, value), separately for fitting and test rows."""
+KEYS = ["dataset", "feature"]
+
+
+def split_value_counts(tables: Sequence[LabelledTable], split_col: str = "split") -> DataFrame:
+    """Class counts per (dataset, feature, value), separately for fitting and test rows."""
     test, pos = F.col(split_col) == "test", F.col("label") == 1
-    return table.long(split_col).groupBy("feature", "value").agg(
+    return pooled_long(tables, split_col).groupBy(*KEYS, "value").agg(
         count_if(~test & ~pos).alias("n0"), count_if(~test & pos).alias("n1"),
         count_if(test & ~pos).alias("s0"), count_if(test & pos).alias("s1"))
 
@@ -34,21 +40,21 @@ def _purity(neg: Column, pos: Column) -> Column:
     return (neg * neg + pos * pos) / (neg + pos)
 
 
-NODE = ("feature string, node int, first double, last double, above double, upto double, "
+NODE = ("dataset string, feature string, node int, first double, last double, above double, upto double, "
         "base0 bigint, base1 bigint, n0 bigint, n1 bigint")
 
 
 def _best_cuts(run: DataFrame, nodes: DataFrame) -> list:
     """The purest cut of every open node; equal purity goes to the smallest value."""
     # at most features x 2**depth nodes
-    cand = run.select("feature", "value", "next_value", "cum_n0", "cum_n1").join(
-        F.broadcast(nodes), "feature").filter(
+    cand = run.select(*KEYS, "value", "next_value", "cum_n0", "cum_n1").join(
+        F.broadcast(nodes), KEYS).filter(
         (F.col("value") > F.col("first")) & (F.col("value") <= F.col("last")))
     l0, l1 = d(F.col("cum_n0") - F.col("base0")), d(F.col("cum_n1") - F.col("base1"))
     r0, r1 = d("n0") - l0, d("n1") - l1
-    return cand.filter(r0 + r1 > 0).groupBy("feature", "node").agg(F.max(F.struct(
+    return cand.filter(r0 + r1 > 0).groupBy(*KEYS, "node").agg(F.max(F.struct(
         (_purity(l0, l1) + _purity(r0, r1)).alias("score"), (-F.col("value")).alias("neg"),
-        "next_value", "cum_n0", "cum_n1")).alias("b")).select("feature", "node", "b.*").collect()
+        "next_value", "cum_n0", "cum_n1")).alias("b")).select(*KEYS, "node", "b.*").collect()
 
 
 def _halves(node: dict, cut) -> list[dict]:
@@ -69,22 +75,22 @@ def grow(counts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     model itself, features x 2**depth intervals, is on the driver.
     """
     spark = counts.sparkSession
-    fit = counts.filter("n0 + n1 > 0").select("feature", "value", "n0", "n1")
-    run = cumulate(fit, ["feature"], "value", ["n0", "n1"], auto_cuts(fit, ["feature"], "value")).persist(
+    fit = counts.filter("n0 + n1 > 0").select(*KEYS, "value", "n0", "n1")
+    run = cumulate(fit, KEYS, "value", ["n0", "n1"], auto_cuts(fit, KEYS, "value")).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
-        roots = run.groupBy("feature").agg(F.max("all_n0").alias("n0"), F.max("all_n1").alias("n1")).collect()
-        level = [dict(feature=r["feature"], node=1, first=LOW, last=HIGH, above=LOW, upto=HIGH,
+        roots = run.groupBy(*KEYS).agg(F.max("all_n0").alias("n0"), F.max("all_n1").alias("n1")).collect()
+        level = [dict(dataset=r["dataset"], feature=r["feature"], node=1, first=LOW, last=HIGH, above=LOW, upto=HIGH,
                       base0=0, base1=0, n0=r["n0"], n1=r["n1"]) for r in roots]
         leaves: list[dict] = []
         for _ in range(depth):
             mixed = [n for n in level if n["n0"] and n["n1"]]
             leaves += [n for n in level if not (n["n0"] and n["n1"])]
-            cuts = {(c["feature"], c["node"]): c
+            cuts = {(c["dataset"], c["feature"], c["node"]): c
                     for c in (_best_cuts(run, local_table(spark, mixed, NODE)) if mixed else [])}
             level = []
             for n in mixed:
-                cut = cuts.get((n["feature"], n["node"]))
+                cut = cuts.get((n["dataset"], n["feature"], n["node"]))
                 if cut is None:
                     leaves.append(n)
                 else:
@@ -93,51 +99,47 @@ def grow(counts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     finally:
         run.unpersist()
     return local_table(spark, leaves, NODE).select(
-        "feature", "node", "above", "upto", "n0", "n1",
+        *KEYS, "node", "above", "upto", "n0", "n1",
         (F.col("n1") > F.col("n0")).cast("int").alias("prediction"))
 
 
-def single_feature_tree(table: LabelledTable, split_col: str = "split", depth: int = MAX_DEPTH) -> DataFrame:
-    """Test scores of a depth-limited tree grown on each feature alone."""
-    counts = split_value_counts(table, split_col)
-    leaves = grow(counts, depth)
+def single_feature_tree(tables: Sequence[LabelledTable], split_col: str = "split",
+                        depth: int = MAX_DEPTH) -> DataFrame:
+    """Test scores of a depth-limited tree grown on each feature of each table alone."""
+    counts = split_value_counts(tables, split_col)
+    return _test_scores(counts, grow(counts, depth))
+
+
+def _test_scores(counts: DataFrame, leaves: DataFrame) -> DataFrame:
     hits = counts.filter("s0 + s1 > 0").join(
-        F.broadcast(leaves.select("feature", "above", "upto", "prediction")), "feature").filter(
+        F.broadcast(leaves.select(*KEYS, "above", "upto", "prediction")), KEYS).filter(
         (F.col("value") > F.col("above")) & (F.col("value") <= F.col("upto")))
     yes = F.col("prediction") == 1
-    conf = hits.groupBy("feature").agg(
+    conf = hits.groupBy(*KEYS).agg(
         F.sum(F.when(yes, F.col("s1")).otherwise(0)).alias("tp"),
         F.sum(F.when(yes, F.col("s0")).otherwise(0)).alias("fp"),
         F.sum(F.when(yes, 0).otherwise(F.col("s1"))).alias("fn"),
         F.sum(F.when(yes, 0).otherwise(F.col("s0"))).alias("tn"))
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     return conf.select(
-        F.lit(table.name).alias("dataset"), "feature",
-        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_test"),
-        r6(ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).alias("accuracy"),
+        *KEYS, n.alias("n_test"), r6(ratio(F.col("tp") + F.col("tn"), n)).alias("accuracy"),
         r6(ratio("tp", F.col("tp") + F.col("fp"))).alias("precision"),
         r6(ratio("tp", F.col("tp") + F.col("fn"))).alias("recall"),
         r6(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
 
 
-def learned_rule(table: LabelledTable, feature: str, split_col: str = "split",
-                 depth: int = MAX_DEPTH) -> DataFrame:
-    """The tree of one suspect as ordered interval rules."""
-    leaves = grow(split_value_counts(table.only([feature]), split_col), depth)
-    return leaves.select("feature", "above", "upto", "n0", "n1", "prediction",
-                         F.row_number().over(Window.partitionBy("feature").orderBy("upto")).alias("rule_no"))
-
-
-def targeted_investigation(table: LabelledTable, feature: str, split_col: str = "split") -> DataFrame:
+def targeted_investigation(table: LabelledTable, feature: str, split_col: str = "split",
+                           depth: int = MAX_DEPTH) -> DataFrame:
     """One suspect: tree scores, information about the label and the learned rule."""
-    from labelwatch.operators.leakage import mutual_information
-
     suspect = table.only([feature])
-    scores = single_feature_tree(suspect, split_col)
+    counts = split_value_counts([suspect], split_col)
+    leaves = grow(counts, depth)
     fitting = suspect.where(F.col(split_col) != "test")
-    rule = learned_rule(suspect, feature, split_col).groupBy("feature").agg(
+    # at most 2**depth leaves
+    rule = leaves.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_leaves"),
         F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("rule_no", "upto", "prediction"))),
+            F.array_sort(F.collect_list(F.struct("upto", "prediction"))),
             lambda s: F.concat(F.lit("x <= "), F.format_string("%.4f", s["upto"]), F.lit(": "),
                                s["prediction"].cast("string"))), "; ").alias("rule"))
-    return scores.join(mutual_information(fitting), "feature").join(rule, "feature")
+    return _test_scores(counts, leaves).join(mutual_information(fitting), "feature").join(rule, "feature")

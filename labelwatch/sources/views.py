@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,12 @@ class LabelledTable:
                     .filter(F.col("value").isNotNull()))
 
 
+def pooled_long(tables: Sequence[LabelledTable], *carry: str) -> DataFrame:
+    """The long rows of several tables with their dataset name: one plan audits them all."""
+    parts = [t.long(*carry).withColumn("dataset", F.lit(t.name)) for t in tables]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def day_number(ts: str) -> Column:
     return F.datediff(F.col(ts).cast("date"), F.lit(EPOCH).cast("date"))
 
