@@ -31,3 +31,9 @@ def sign(c: Column | str) -> Column:
 
 def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
+
+
+def steady(c: Column | str) -> Column:
+    """Fitted parameters, rounded so that the order of summation cannot show."""
+    x = d(c)
+    return F.when(F.abs(x) >= 1000, F.round(x, 2)).otherwise(F.round(x, 6)) + F.lit(0.0)

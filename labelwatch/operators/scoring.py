@@ -10,7 +10,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwatch.functions.numeric import count_if, d, r6, ratio
+from labelwatch.functions.numeric import count_if, d, r6, ratio, steady
 from labelwatch.operators.ordering import auto_cuts, cumulate
 from labelwatch.sources.views import LabelledTable
 
@@ -21,10 +21,11 @@ CLIP = 1e-15
 
 @dataclass(frozen=True)
 class LinearScorer:
-    """score(x) = sum of weight * (x - centre).  A fit with a closed form, hence checkable in SQL."""
+    """score(x) = sum of weight * (x - centre) / spread.  A closed-form fit, hence checkable in SQL."""
 
     weights: dict[str, float]
     centres: dict[str, float]
+    spreads: dict[str, float]
 
     @property
     def features(self) -> tuple[str, ...]:
@@ -32,28 +33,30 @@ class LinearScorer:
 
     def part(self, feature: str, value: Column | None = None) -> Column:
         x = d(feature) if value is None else value
-        return F.lit(self.weights[feature]) * (x - F.lit(self.centres[feature]))
+        return F.lit(self.weights[feature]) * (x - F.lit(self.centres[feature])) / F.lit(self.spreads[feature])
 
     def score(self, only: Sequence[str] | None = None) -> Column:
         """The score; features outside ``only`` stay at their centre and add nothing."""
         return reduce(add, [self.part(f) for f in (only or self.features)])
 
 
-def fit_linear(table: LabelledTable, digits: int = 6) -> LinearScorer:
-    """Weights (mean1 - mean0) / variance and centres, from one aggregation of the training rows.
+def fit_linear(table: LabelledTable) -> LinearScorer:
+    """Weight (mean1 - mean0) / std per feature, from one aggregation of the training rows.
 
-    What reaches the driver is two numbers per feature.
+    What reaches the driver is three numbers per feature.
     """
     frame = table.frame.filter(F.col("split") == "train") if "split" in table.frame.columns else table.frame
     pos, neg = F.col(table.label_col) == 1, F.col(table.label_col) == 0
     aggs = []
     for f in table.features:
-        aggs += [F.avg(d(f)).alias(f"m_{f}"), F.var_pop(d(f)).alias(f"v_{f}"),
+        aggs += [F.avg(d(f)).alias(f"m_{f}"), F.stddev_pop(d(f)).alias(f"s_{f}"),
                  F.avg(F.when(pos, d(f))).alias(f"p_{f}"), F.avg(F.when(neg, d(f))).alias(f"n_{f}")]
+    spread = {f: F.when(steady(f"s_{f}") > 0, steady(f"s_{f}")).otherwise(1.0) for f in table.features}
     row = frame.agg(*aggs).select(
-        *[F.round(ratio(F.col(f"p_{f}") - F.col(f"n_{f}"), f"v_{f}"), digits).alias(f"w_{f}") for f in table.features],
-        *[F.round(f"m_{f}", digits).alias(f"m_{f}") for f in table.features]).first()
-    return LinearScorer({f: row[f"w_{f}"] for f in table.features}, {f: row[f"m_{f}"] for f in table.features})
+        *[steady((F.col(f"p_{f}") - F.col(f"n_{f}")) / spread[f]).alias(f"w_{f}") for f in table.features],
+        *[steady(f"m_{f}").alias(f"m_{f}") for f in table.features],
+        *[spread[f].alias(f"s_{f}") for f in table.features]).first()
+    return LinearScorer(*({f: row[f"{tag}_{f}"] for f in table.features} for tag in ("w", "m", "s")))
 
 
 def linear_predictions(table: LabelledTable, scorer: LinearScorer, keep: Sequence[str] = ()) -> DataFrame:

@@ -63,13 +63,19 @@ def _policy_views():
                                  {"pm": "orders", "pd": "orders__intermediate_dropped"}, "pcurve") + [screen_cte("pcurve", "pscreened")]
 
 
+def steady(x):
+    return f"(case when abs({x}) >= 1000 then round({x}, 2) else round({x}, 6) end + 0.0)"
+
+
 def linear_cte(view, split, out, features=None):
-    """Weights (mean1 - mean0) / variance of the training rows and the resulting scores of all rows."""
+    """Weights (mean1 - mean0) / std of the training rows and the resulting scores of all rows."""
     feats = features or FEATURES[view]
-    w = ", ".join(f"""round(case when var_pop({f}) filter (split = 'train') <> 0 then
-        (avg({f}) filter (split = 'train' and label = 1) - avg({f}) filter (split = 'train' and label = 0)) / var_pop({f}) filter (split = 'train')
-        else 0.0 end, 6) as w_{f}, round(avg({f}) filter (split = 'train'), 6) as m_{f}""" for f in feats)
-    score = " + ".join(f"w_{f} * ({f} - m_{f})" for f in sorted(feats))
+    tr = "filter (split = 'train')"
+    sd = {f: f"case when {steady(f'stddev_pop({f}) {tr}')} > 0 then {steady(f'stddev_pop({f}) {tr}')} else 1.0 end" for f in feats}
+    mean1, mean0 = "avg({f}) filter (split = 'train' and label = 1)", "avg({f}) filter (split = 'train' and label = 0)"
+    w = ", ".join(f"{steady('((' + mean1.format(f=f) + ' - ' + mean0.format(f=f) + ') / ' + sd[f] + ')')} as w_{f}, "
+                  f"{steady(f'avg({f}) {tr}')} as m_{f}, {sd[f]} as sd_{f}" for f in feats)
+    score = " + ".join(f"w_{f} * ({f} - m_{f}) / sd_{f}" for f in sorted(feats))
     return f"""{out}_w as (select {w} from {split}),
 {out} as (select s.*, round({score}, 6) + 0.0 as score from {split} s, {out}_w)"""
 
