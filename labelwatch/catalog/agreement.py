@@ -9,6 +9,7 @@ from labelwatch.operators import agreement as ag
 from labelwatch.operators import importance as im
 from labelwatch.operators import scoring
 from labelwatch.operators.splitting import stratified_halves, stratified_split
+from labelwatch.session import settle
 from labelwatch.sources import views as v
 
 KEYS = ["dataset", "seed"]
@@ -36,11 +37,16 @@ def half_attributions(s, p, seeds=(42,), views=tuple(v.VIEWS)):
 
 
 def half_profiles(s, p, seeds=(42,), directions=False, views=tuple(v.VIEWS)):
-    return im.importance_profile(half_attributions(s, p, seeds, views), [*KEYS, "half"], directions)
+    return settle(im.importance_profile(half_attributions(s, p, seeds, views), [*KEYS, "half"], directions))
 
 
 def half_pairs(s, p, seeds=(42,), directions=False, views=tuple(v.VIEWS)):
     profiles = half_profiles(s, p, seeds, directions, views)
+    return paired(profiles)
+
+
+def paired(profiles):
+    """Settled profiles split into sides: metrics read a table of features, not the rows behind it."""
     return ag.align_profiles(profiles.filter("half = 'a'"), profiles.filter("half = 'b'"), KEYS)
 
 
@@ -92,7 +98,7 @@ def tau_rows(s, p):
 def per_seed(s, p):
     """One row per (dataset, seed): tau, overlap, signs, directions, cancellation."""
     profiles = half_profiles(s, p, SEEDS, True, ("order_status", "planted"))
-    pairs = ag.align_profiles(profiles.filter("half = 'a'"), profiles.filter("half = 'b'"), KEYS)
+    pairs = paired(profiles)
     cancel = im.cancellation_ratio(profiles, [*KEYS, "half"]).groupBy(*KEYS).agg(
         F.max(F.when(F.col("half") == "a", F.col("cancellation_ratio"))).alias("cancellation_a"),
         F.max(F.when(F.col("half") == "b", F.col("cancellation_ratio"))).alias("cancellation_b"))
@@ -103,7 +109,7 @@ def per_seed(s, p):
     jac = ag.jaccard_at_k(pairs, KEYS, k).select(*KEYS, "jaccard")
     tau = ag.kendall_tau(pairs, KEYS).select(*KEYS, r6("tau").alias("tau"))
     top1 = ag.top1_agreement(pairs, KEYS)
-    return reduce(lambda a, b: a.join(b, KEYS), [tau, top1, jac, top, every, direction, cancel])
+    return settle(reduce(lambda a, b: a.join(b, KEYS), [tau, top1, jac, top, every, direction, cancel]))
 
 
 def summary(s, p):
@@ -114,7 +120,7 @@ def cross_pairs(s, p, directions=False):
     """Concept profiles of the two collections, each with its own scorer."""
     rows = v.pooled_long([v.concept_side(s, p, "a"), v.concept_side(s, p, "b")])
     attr = im.attribution_linear(rows, im.linear_weights(rows, ["dataset"]), ["dataset"])
-    profile = im.importance_profile(attr, ["dataset"], directions)
+    profile = settle(im.importance_profile(attr, ["dataset"], directions))
     side = lambda n: profile.filter(F.col("dataset") == n).withColumn("dataset", F.lit("concept_a->concept_b"))
     return ag.align_profiles(side("concept_a"), side("concept_b"), ["dataset"])
 

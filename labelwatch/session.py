@@ -53,3 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     sc.setCheckpointDir(scratch_folder(spark))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that several later steps read, in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

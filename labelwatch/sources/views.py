@@ -58,7 +58,8 @@ class LabelledTable:
 
 def pooled_long(tables: Sequence[LabelledTable], *carry: str) -> DataFrame:
     """The long rows of several tables with their dataset name: one plan audits them all."""
-    parts = [t.long(*carry).withColumn("dataset", F.lit(t.name)) for t in tables]
+    parts = [t.long(*carry).withColumn("id", F.col("id").cast("string")).withColumn("dataset", F.lit(t.name))
+             for t in tables]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
