@@ -115,7 +115,7 @@ def load_in_window(windows: DataFrame, samples: DataFrame) -> DataFrame:
     tags = F.array_sort(F.array_except(F.array_distinct(F.flatten(F.collect_set("tag_set"))),
                                        F.array(*[F.lit(t) for t in IGNORED_TAGS])))
     return hits.groupBy(*keys).agg(
-        F.round(F.sum("cpu_sum") / d(F.sum("n")), 2).alias("cpu_mean"), F.max("cpu_max").alias("cpu_max"),
+        (F.round(F.sum("cpu_sum") / d(F.sum("n")) * 100.0) / 100.0).alias("cpu_mean"), F.max("cpu_max").alias("cpu_max"),
         F.max("procs_max").alias("procs_max"), F.sum("n").alias("n_samples"), F.array_join(tags, ";").alias("tags"))
 
 
