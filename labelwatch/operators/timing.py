@@ -104,7 +104,7 @@ def load_in_window(windows: DataFrame, samples: DataFrame) -> DataFrame:
     claims no sample.  Samples of one second are summed up before the join.
     """
     per_second = samples.groupBy("date", "second").agg(
-        F.sum("cpu").alias("cpu_sum"), F.max("cpu").alias("cpu_max"),
+        F.sum(F.round(d("cpu") * 100).cast("bigint")).alias("cents"), F.max("cpu").alias("cpu_max"),
         F.max("n_procs").alias("procs_max"), F.count(F.lit(1)).alias("n"),
         # bounded: distinct tag strings of one second
         F.array_distinct(F.flatten(F.collect_set(F.split("tags", ";")))).alias("tag_set")
@@ -115,7 +115,8 @@ def load_in_window(windows: DataFrame, samples: DataFrame) -> DataFrame:
     tags = F.array_sort(F.array_except(F.array_distinct(F.flatten(F.collect_set("tag_set"))),
                                        F.array(*[F.lit(t) for t in IGNORED_TAGS])))
     return hits.groupBy(*keys).agg(
-        (F.round(F.sum("cpu_sum") / d(F.sum("n")) * 100.0) / 100.0).alias("cpu_mean"), F.max("cpu_max").alias("cpu_max"),
+        # exact half-up rounding on integer hundredths: the order of summation cannot show
+        (F.floor(d(2 * F.sum("cents") + F.sum("n")) / d(2 * F.sum("n"))) / 100.0).alias("cpu_mean"), F.max("cpu_max").alias("cpu_max"),
         F.max("procs_max").alias("procs_max"), F.sum("n").alias("n_samples"), F.array_join(tags, ";").alias("tags"))
 
 

@@ -146,7 +146,7 @@ ORACLES = {
     "day_index": log_query("select file, line_no, day, second from dd"),
     "iteration_windows": log_query('select file, day, line_no, iteration, fit_seconds, start, "end", window_reconstructed from win'),
     "contention_join": log_query("select file, day, line_no, jobs from con"),
-    "load_in_window": log_query("""select w.file, w.day, w.line_no, round(avg(value), 2) as cpu_mean, max(value) as cpu_max, max(user_id % 8) as procs_max, count(*) as n_samples,
+    "load_in_window": log_query("""select w.file, w.day, w.line_no, floor(cast(2 * sum(cast(round(value * 100) as bigint)) + count(*) as double) / cast(2 * count(*) as double)) / 100.0 as cpu_mean, max(value) as cpu_max, max(user_id % 8) as procs_max, count(*) as n_samples,
         case when bool_or(user_id % 3 = 2) then 'search;train' when bool_or(user_id % 3 = 0) then 'train' else '' end as tags
         from win w join events e on e.event_type = 'view' and cast(e.ts as date) = w.dt and hour(e.ts) * 3600 + minute(e.ts) * 60 + second(e.ts) between w.start and w."end"
         group by 1, 2, 3"""),
