@@ -241,6 +241,11 @@ def test_accuracy(table: LabelledTable, model) -> float:
     return float(scored.agg(F.avg(hit).alias("a")).first()["a"])
 
 
+def settled(table: LabelledTable) -> LabelledTable:
+    """The split written once, for loops whose every fit reads it several times."""
+    return replace(table, frame=settle(table.frame.select(table.id_col, table.label_col, "split", *table.features)))
+
+
 def progressive_removal(table: LabelledTable, target: float = TARGET_ACCURACY, max_removed: int = MAX_REMOVED,
                         seed: int = 42, n_explain: int = 200) -> DataFrame:
     """Fit, score, rank by attribution, drop the top feature; until accuracy falls below target.
@@ -248,8 +253,7 @@ def progressive_removal(table: LabelledTable, target: float = TARGET_ACCURACY, m
     The driver holds one number and one name per round; the curve is a table of
     at most max_removed + 1 rows.
     """
-    # Every round reads the split several times: compute it once.
-    table = replace(table, frame=settle(table.frame.select(table.id_col, table.label_col, "split", *table.features)))
+    table = settled(table)
     left, rows = list(table.features), []
     while len(left) >= 2 and len(rows) <= max_removed:
         now = table.only(left)
@@ -269,6 +273,7 @@ def progressive_removal(table: LabelledTable, target: float = TARGET_ACCURACY, m
 
 def sufficiency(table: LabelledTable, ks: Sequence[int] = (3, 5), seed: int = 42) -> DataFrame:
     """Retrain on the top-k features alone and on all the others; compare with the full model."""
+    table = settled(table)
     e = explain_forest(table, seed)
     full = test_accuracy(table, e.model)
     order = [r["feature"] for r in global_importance(e.attributions, []).orderBy(F.desc("mean_abs"), "feature").collect()]
