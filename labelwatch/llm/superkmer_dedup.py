@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from labelwatch.llm.blocks import (U, gram_hashes, joined_words, list_rows, mix, ragged, rolling_min, row_bytes, slices,
                                    span_hash, spread, strings, word_bounds, word_hashes, written)
@@ -184,13 +185,13 @@ def _repeats(window: int, block_bytes: int = 8_000_000):
 
 
 def _cut(window: int):
-    """Remove covered words; adds n_words, n_removed and the kept words joined by one space."""
+    """Remove covered words; the kept words joined by one space as _kept, with _n_words and _n_removed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 data, offsets = strings(part.column("text"))
                 starts, ends, first = word_bounds(data, offsets)
-                row, flat = list_rows(part.column("repeats"))
+                row, flat = list_rows(part.column("_repeats"))
                 s = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + first[row]
                 e = s + flat.field("n").to_numpy(zero_copy_only=False) + window - 1
                 depth = np.zeros(len(starts) + 1, np.int64)
@@ -201,11 +202,10 @@ def _cut(window: int):
                 rows = np.repeat(np.arange(len(counts)), counts)
                 kept, edges = joined_words(data, starts[keep], ends[keep], rows[keep], len(counts))
                 removed = counts - np.bincount(rows[keep], minlength=len(counts))
-                texts = row_bytes(kept, edges)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64)),
-                     pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_text"])
+                new = {"_n_words": pa.array(counts.astype(np.int64)), "_n_removed": pa.array(removed.astype(np.int64)),
+                       "_kept": pa.array(row_bytes(kept, edges), pa.binary()).cast(pa.string())}
+                old = [n for n in part.schema.names if n != "_repeats"]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in old] + list(new.values()), names=[*old, *new])
     return run
 
 
@@ -237,6 +237,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             .mapInArrow(_repeats(window), "doc_id long, start int, n int"))
 
 
+def _removed(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    repeats = (repeated_windows(docs, window, gram).groupBy("doc_id")
+               .agg(F.collect_list(F.struct("start", "n")).alias("_repeats")))
+    columns = docs.columns
+    added = StructType.fromDDL("_n_words long, _n_removed long, _kept string")
+    schema = StructType([*docs.schema.fields, *added.fields])
+    return docs.join(repeats, "doc_id", "left").select(*columns, "_repeats").mapInArrow(_cut(window), schema)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
@@ -246,7 +255,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    repeats = (repeated_windows(docs, window, gram).groupBy("doc_id")
-               .agg(F.collect_list(F.struct("start", "n")).alias("repeats")))
-    return docs.join(repeats, "doc_id", "left").mapInArrow(
-        _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    return _removed(docs, window, gram).select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+                                               F.col("_kept").alias("kept_text"))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with all their columns, each text that loses words replaced by its kept words; other texts as they are."""
+    return _removed(docs, window, gram).select(*[
+        F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)
+        for c in docs.columns])
