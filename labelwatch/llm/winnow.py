@@ -22,7 +22,7 @@ UNIT = r"[^\x20\x09-\x0D]{1,12}"
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
 LOW = (1 << 32) - 1
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 BROADCAST_ROWS = 100_000
 
 
