@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwatch.llm.blocks import slices, written
-from labelwatch.llm.pretokens import PieceEncoder
+from labelwatch.llm.pretokens import ENCODED_BYTES, PieceEncoder
 
 SIZE = 2048
 BUCKET_ROWS = 50_000
@@ -71,7 +71,7 @@ def _pieces(described, size: int, end_id: int):
         specials = {t.content: i for i, t in made.get_added_tokens_decoder().items()}
         encoder = PieceEncoder(encode, specials, byte_level=False, normal=_normal)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=ENCODED_BYTES):
                 ids, edges = encoder([t or "" for t in part.column("text").to_pylist()])
                 docs = part.column("doc_id").to_pylist()
                 raw = ids.astype("<u4").tobytes()

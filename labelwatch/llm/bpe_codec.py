@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelwatch.llm.blocks import ragged, slices
-from labelwatch.llm.pretokens import PieceEncoder
+from labelwatch.llm.pretokens import ENCODED_BYTES, PieceEncoder
 
 PAIRS_KEPT = 1_000_000
 
@@ -142,7 +142,7 @@ def _coded(described):
         vocab = vocabulary(described.value)
         encoder = PieceEncoder(vocab.encode_pieces, vocab.specials, byte_level=True)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=ENCODED_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids, edges = encoder(texts)
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))

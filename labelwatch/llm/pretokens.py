@@ -16,6 +16,7 @@ import pyarrow as pa
 from labelwatch.llm.blocks import ragged
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
+ENCODED_BYTES = 8_000_000  # of text at once: distinct pre-tokens are looked up once each time
 SEPARATOR = 0xD800  # a lone surrogate
 _WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _TAILS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -132,7 +133,8 @@ class PieceEncoder:
         names = coded.dictionary.filter(pa.array(wanted)).to_pylist()
         if len(self.known) > self.limit:
             self.clear()
-        new = [x for x in names if x not in self.known]
+        found = list(map(self.known.get, names))
+        new = [x for x, i in zip(names, found) if i is None]
         if new:
             ids, counts = self.encode(new)
             base = len(self.starts)
@@ -140,8 +142,10 @@ class PieceEncoder:
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
             self.ids = np.concatenate([self.ids, ids])
+            fresh = iter(range(base, base + len(new)))
+            found = [next(fresh) if i is None else i for i in found]
         place = np.zeros(len(coded.dictionary), np.int64)
-        place[wanted] = [self.known[x] for x in names]
+        place[wanted] = found
         which = place[codes[real]]
         counts = self.counts[which]
         ids = self.ids[ragged(self.starts[which], counts)]
