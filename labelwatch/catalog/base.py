@@ -86,9 +86,19 @@ def ratio_bins(s, p):
                         concepts.bin_ratio(*parts).alias("ratio_bin"))
 
 
+# what documents and pages hold that an export should not: contacts, addresses, keys, trackers
+PRIVATE = {
+    "phone": r"[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}",
+    "mailbox": r"[a-z0-9][a-z0-9._]*@mail[0-9]*[.][a-z.]+",
+    "address": r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}",
+    "access_key": r"AKIA[A-Z0-9]{12,}",
+    "tracker": r"track[(][0-9]+[)]",
+}
+
+
 def forbidden(s, p):
-    docs = concepts.forbidden_content_scan(parquet_table(s, p, "documents"), "doc_id", ["text"], "documents")
-    pages = concepts.forbidden_content_scan(parquet_table(s, p, "pages"), "page_id", ["url", "html"], "pages")
+    docs = concepts.forbidden_content_scan(parquet_table(s, p, "documents"), "doc_id", ["text"], "documents", PRIVATE)
+    pages = concepts.forbidden_content_scan(parquet_table(s, p, "pages"), "page_id", ["url", "html"], "pages", PRIVATE)
     return docs.unionByName(pages)
 
 

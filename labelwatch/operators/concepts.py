@@ -38,25 +38,17 @@ def bin_ratio(external: Column, own: Column, empty: Column) -> Column:
     return ternary(external_ratio(external, own, empty), *RATIO_CUTS, inclusive_low=False)
 
 
-def present_is_bad(count: Column) -> Column:
-    return F.when(count == 0, 1).otherwise(-1)
-
-
-
-
 def page_rules() -> dict[str, tuple[tuple[str, ...], Column]]:
-    """The concepts a table of page features can express, with the columns each one needs."""
-    c = F.col
+    """Concepts of a table of page features, each with the columns it needs: 1 plain, 0 between, -1 heavy."""
+    scripts, images, dead = F.col("n_script"), F.col("n_img"), F.col("empty_refs")
+    out, own = F.col("external_refs"), F.col("self_refs")
     return {
-        "ip_in_domain": (("is_ip",), F.when(c("is_ip") == 1, -1).otherwise(1)),
-        "url_length": (("url_length",), bin_length(c("url_length"))),
-        "subdomain_depth": (("n_subdomain",), bin_depth(c("n_subdomain"))),
-        "ssl_state": (("is_https",), F.when(c("is_https") == 1, 1).otherwise(-1)),
-        "iframe": (("n_iframe",), present_is_bad(c("n_iframe"))),
-        "popup": (("n_popup",), present_is_bad(c("n_popup"))),
-        "form_handler": (("n_form",), present_is_bad(c("n_form"))),
-        "anchor_external_ratio": (("external_refs", "self_refs", "empty_refs"),
-                                  bin_ratio(c("external_refs"), c("self_refs"), c("empty_refs"))),
+        "script_weight": (("n_script",), ternary(scripts, 0, 2, inclusive_low=True)),
+        "picture_mix": (("n_img", "n_script"), F.signum(images - scripts)),
+        "link_reach": (("self_refs", "external_refs"), F.signum(own - out)),
+        "dead_links": (("empty_refs",), ternary(dead, 0, 3, inclusive_low=True)),
+        "host_shape": (("n_subdomain", "is_ip"),
+                       F.when(F.col("is_ip") == 1, -1).when(F.col("n_subdomain") == 0, 1).otherwise(0)),
     }
 
 
@@ -103,17 +95,8 @@ def shared_distribution_pivot(tables: Sequence[LabelledTable]) -> DataFrame:
             .pivot("dataset", names).agg(F.first("positive_rate")))
 
 
-# Content that must not leave with an export.
-FORBIDDEN = {
-    "windows_path": r"[A-Za-z]:\\",
-    "windows_home": r"[A-Za-z]:/(Users|home)/",
-    "posix_home": r"/(Users|home)/",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
-}
-
-
 def forbidden_content_scan(df: DataFrame, id_col: str, columns: Sequence[str], name: str,
-                           patterns: Mapping[str, str] = FORBIDDEN) -> DataFrame:
+                           patterns: Mapping[str, str]) -> DataFrame:
     """Cells that match a forbidden pattern, with the first match.
 
     Patterns are expressions of one projection, so a cell is read once for all
@@ -128,7 +111,7 @@ def forbidden_content_scan(df: DataFrame, id_col: str, columns: Sequence[str], n
 
 
 def refuse_forbidden(df: DataFrame, id_col: str, columns: Sequence[str], name: str,
-                     patterns: Mapping[str, str] = FORBIDDEN) -> DataFrame:
+                     patterns: Mapping[str, str]) -> DataFrame:
     """The table itself, or an error naming the first offending cell."""
     hit = forbidden_content_scan(df, id_col, columns, name, patterns).first()
     if hit:

@@ -44,11 +44,14 @@ def hash_rank(df: DataFrame, group: Sequence[str], id_col: str, *tag: Column | s
         (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
         F.sum("_n").over(whole).alias("_all"))
     inside = Window.partitionBy(*keys).orderBy("_key", id_col)
-    ranked = keyed.withColumn("_pos", F.row_number().over(inside)).join(offsets, keys)
+    # NULL is a group of its own: an ordinary join would lose its rows
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    offsets = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_before", "_all")
+    ranked = keyed.withColumn("_pos", F.row_number().over(inside)).join(offsets, same)
     out = ranked.withColumn(rank, (F.col("_before") + F.col("_pos")).cast("bigint"))
     if total:
         out = out.withColumn(total, F.col("_all"))
-    return out.drop("_key", "_bucket", "_pos", "_before", "_all")
+    return out.drop("_key", "_bucket", "_pos", "_before", "_all", *[f"_of_{k}" for k in keys])
 
 
 def range_cuts(frame: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFrame:

@@ -98,10 +98,10 @@ def contention_join(windows: DataFrame, events: DataFrame, competing: Mapping[st
 
 
 def load_in_window(windows: DataFrame, samples: DataFrame) -> DataFrame:
-    """Sampled load within dated windows (file, day, line_no, date, start, end).
+    """Sampled load within windows (file, day, line_no, date, start, end): one row for each window.
 
-    Samples are (date, second, cpu, n_procs, tags); without a date a window
-    claims no sample.  Samples of one second are summed up before the join.
+    Samples are (date, second, cpu, n_procs, tags); a window without a date or
+    a sample has n_samples 0 and NULL elsewhere.  Samples of one second are summed up before the join.
     """
     per_second = samples.groupBy("date", "second").agg(
         F.sum(F.round(d("cpu") * 100).cast("bigint")).alias("cents"), F.max("cpu").alias("cpu_max"),
@@ -114,10 +114,12 @@ def load_in_window(windows: DataFrame, samples: DataFrame) -> DataFrame:
         per_second, ["date", "_slot"]).filter((F.col("second") >= F.col("start")) & (F.col("second") <= F.col("end")))
     tags = F.array_sort(F.array_except(F.array_distinct(F.flatten(F.collect_set("tag_set"))),
                                        F.array(*[F.lit(t) for t in IGNORED_TAGS])))
-    return hits.groupBy(*keys).agg(
+    found = hits.groupBy(*keys).agg(
         # exact half-up rounding on integer hundredths: the order of summation cannot show
         (F.floor(d(2 * F.sum("cents") + F.sum("n")) / d(2 * F.sum("n"))) / 100.0).alias("cpu_mean"), F.max("cpu_max").alias("cpu_max"),
         F.max("procs_max").alias("procs_max"), F.sum("n").alias("n_samples"), F.array_join(tags, ";").alias("tags"))
+    return (windows.select(*keys).join(found, keys, "left")
+            .withColumn("n_samples", F.coalesce("n_samples", F.lit(0).cast("bigint"))))
 
 
 def cost_eligibility(windows: DataFrame, remeasured: DataFrame) -> DataFrame:
@@ -155,7 +157,9 @@ def cost_profile(costs: DataFrame, screening: DataFrame) -> DataFrame:
 def cost_curve(profile: DataFrame) -> DataFrame:
     """Shape of the eligible costs over iterations: fold range, falling steps, plateau.
 
-    One row per (file, iteration) goes in, so a window holds one curve.
+    One row per (file, iteration) goes in, so a window holds one curve. A file
+    with fewer than three eligible iterations keeps its row: its count, the
+    full range, a note, and NULL for the shape.
     """
     eligible = profile.filter("source = 'log' and eligible")
     w = Window.partitionBy("file").orderBy("iteration")
@@ -168,8 +172,13 @@ def cost_curve(profile: DataFrame) -> DataFrame:
         count_if(F.col("falls")).alias("n_decreasing_steps"), (F.max(tail) - F.min(tail)).alias("_span"), F.max(tail).alias("_high"))
     everything = profile.filter("source = 'log'").groupBy("file").agg(
         r6(ratio(F.max("seconds"), F.min("seconds"), None)).alias("fold_full_range_lower_bound"))
-    spread = ratio("_span", "_high")
-    return got.filter("n_eligible >= 3").join(everything, "file").select(
-        "file", "n_eligible", "seconds_min", "seconds_max", r6(ratio("seconds_max", "seconds_min", None)).alias("fold"),
+    spread = F.when(F.col("_high").isNotNull(), ratio("_span", "_high"))
+    shape = ["seconds_min", "seconds_max", "n_decreasing_steps", "_span", "_high"]
+    enough = got.select("file", "n_eligible", *[F.when(F.col("n_eligible") >= 3, F.col(c)).alias(c) for c in shape])
+    few = F.coalesce("n_eligible", F.lit(0)) < 3
+    return everything.join(enough, "file", "left").select(
+        "file", F.coalesce("n_eligible", F.lit(0).cast("bigint")).alias("n_eligible"), "seconds_min", "seconds_max",
+        r6(ratio("seconds_max", "seconds_min", None)).alias("fold"),
         "fold_full_range_lower_bound", "n_decreasing_steps", (F.col("n_decreasing_steps") == 0).alias("monotonic"),
-        r6(spread).alias("tail_spread"), (spread < PLATEAU_SPREAD).alias("plateau"))
+        r6(spread).alias("tail_spread"), (spread < PLATEAU_SPREAD).alias("plateau"),
+        F.when(few, "fewer than 3 eligible iterations").alias("note"))

@@ -86,19 +86,19 @@ def line_returned(spark: SparkSession, folder: str) -> LabelledTable:
 
 
 def order_status(spark: SparkSession, folder: str) -> LabelledTable:
-    """Orders with their lines summed up; label: the order is finished."""
+    """All orders with their lines summed up (zeros without lines); label: the order is finished."""
     orders = parquet_table(spark, folder, "orders")
     lines = (parquet_table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).cast("double").alias("n_lines"),
         F.sum(F.round("l_quantity").cast("bigint")).cast("double").alias("sum_qty"),
         (F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).cast("double")
          / F.count(F.lit(1)).cast("double")).alias("avg_discount_pct")))
-    frame = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+    frame = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("label"),
         F.col("o_totalprice").alias("totalprice"),
         day_number("o_orderdate").cast("double").alias("order_day"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
-        "n_lines", "sum_qty", "avg_discount_pct")
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("n_lines", "sum_qty", "avg_discount_pct")])
     return LabelledTable(frame, ("totalprice", "order_day", "priority", "n_lines", "sum_qty",
                                  "avg_discount_pct"), "order_status")
 

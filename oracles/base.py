@@ -1,6 +1,8 @@
 """SQL for sources, label preparation, duplicates and splits."""
 
-from labelwatch.operators.concepts import FORBIDDEN
+PRIVATE = {"phone": "[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", "mailbox": "[a-z0-9][a-z0-9._]*@mail[0-9]*[.][a-z.]+",
+           "address": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "access_key": "AKIA[A-Z0-9]{12,}",
+           "tracker": "track[(][0-9]+[)]"}
 from oracles.leakage import split_cte
 from oracles.views import FEATURES, SQL, long, query
 
@@ -83,19 +85,16 @@ def _forbidden():
     cells = [("documents", "doc_id", "text"), ("pages", "page_id", "url"), ("pages", "page_id", "html")]
     out = []
     for t, i, c in cells:
-        for k, p in FORBIDDEN.items():
+        for k, p in PRIVATE.items():
             out.append(f"select '{t}' as table_name, {i} as id, '{c}' as column_name, '{k}' as pattern, "
                        f"regexp_extract({c}, '{p}') as first_match from {t} where regexp_matches({c}, '{p}')")
     return " union all ".join(out)
 
 
-_CONCEPT_COLS = """cast(case when is_ip = 1 then -1 else 1 end as int) as ip_in_domain,
-  case when url_length < 54 then 1 when url_length <= 75 then 0 else -1 end as url_length,
-  case when n_subdomain <= 1 then 1 when n_subdomain <= 2 then 0 else -1 end as subdomain_depth,
-  case when is_https = 1 then 1 else -1 end as ssl_state,
-  case when n_iframe = 0 then 1 else -1 end as iframe, case when n_popup = 0 then 1 else -1 end as popup,
-  case when n_form = 0 then 1 else -1 end as form_handler,
-  case when ratio < 0.31 then 1 when ratio <= 0.67 then 0 else -1 end as anchor_external_ratio"""
+_CONCEPT_COLS = """case when n_script <= 0 then 1 when n_script <= 2 then 0 else -1 end as script_weight,
+  cast(sign(n_img - n_script) as int) as picture_mix, cast(sign(self_refs - external_refs) as int) as link_reach,
+  case when empty_refs <= 0 then 1 when empty_refs <= 3 then 0 else -1 end as dead_links,
+  case when is_ip = 1 then -1 when n_subdomain = 0 then 1 else 0 end as host_shape"""
 _RATIO = """rated as (select *, case when external_refs + self_refs + empty_refs > 0
    then external_refs / (external_refs + self_refs + empty_refs) else 0.0 end as ratio from page_urls)"""
 

@@ -113,9 +113,8 @@ def _summary():
 
 
 _MAPPED = ", ".join(f"('{c}', 'mapped', '{c}', '{c.upper()}', 'same quantity')" for c in CONCEPT_STRENGTHS if c != "form_target")
-_SOURCES = """(values ('ip_in_domain', 'is_ip'), ('url_length', 'url_length'), ('subdomain_depth', 'n_subdomain'), ('ssl_state', 'is_https'),
-  ('iframe', 'n_iframe'), ('popup', 'n_popup'), ('form_handler', 'n_form'), ('anchor_external_ratio', 'external_refs'),
-  ('anchor_external_ratio', 'self_refs'), ('anchor_external_ratio', 'empty_refs')) s(concept, feature)"""
+_SOURCES = """(values ('script_weight', 'n_script'), ('picture_mix', 'n_img'), ('picture_mix', 'n_script'), ('link_reach', 'self_refs'),
+  ('link_reach', 'external_refs'), ('dead_links', 'empty_refs'), ('host_shape', 'n_subdomain'), ('host_shape', 'is_ip')) s(concept, feature)"""
 
 ORACLES = {
     "polarity": pol_query("select * from pol"),
@@ -146,22 +145,24 @@ ORACLES = {
     "day_index": log_query("select file, line_no, day, second from dd"),
     "iteration_windows": log_query('select file, day, line_no, iteration, fit_seconds, start, "end", window_reconstructed from win'),
     "contention_join": log_query("select file, day, line_no, jobs from con"),
-    "load_in_window": log_query("""select w.file, w.day, w.line_no, floor(cast(2 * sum(cast(round(value * 100) as bigint)) + count(*) as double) / cast(2 * count(*) as double)) / 100.0 as cpu_mean, max(value) as cpu_max, max(user_id % 8) as procs_max, count(*) as n_samples,
-        case when bool_or(user_id % 3 = 2) then 'search;train' when bool_or(user_id % 3 = 0) then 'train' else '' end as tags
-        from win w join events e on e.event_type = 'view' and cast(e.ts as date) = w.dt and hour(e.ts) * 3600 + minute(e.ts) * 60 + second(e.ts) between w.start and w."end"
+    "load_in_window": log_query("""select w.file, w.day, w.line_no, floor(cast(2 * sum(cast(round(value * 100) as bigint)) + count(e.ts) as double) / cast(2 * nullif(count(e.ts), 0) as double)) / 100.0 as cpu_mean, max(value) as cpu_max, max(user_id % 8) as procs_max, count(e.ts) as n_samples,
+        case when count(e.ts) = 0 then null when bool_or(user_id % 3 = 2) then 'search;train' when bool_or(user_id % 3 = 0) then 'train' else '' end as tags
+        from win w left join events e on e.event_type = 'view' and cast(e.ts as date) = w.dt and hour(e.ts) * 3600 + minute(e.ts) * 60 + second(e.ts) between w.start and w."end"
         group by 1, 2, 3"""),
     "cost_eligibility": log_query("select file, line_no, iteration, seconds, remeasured_clean, cache_replay, contended, eligible from cost"),
     "eligibility_counts": log_query("""select file, count(*) as n_iterations, count(*) filter (cache_replay) as n_cache_replay, count(*) filter (contended) as n_contended,
         count(*) filter (eligible) as n_eligible from cost group by 1"""),
     "prefer_measured": log_query("select file, iteration, line_no, seconds, cache_replay from pref"),
     "cost_profile": log_query("select * from prof"),
-    "cost_curve": log_query("""select c.file, n_eligible, seconds_min, seconds_max, round(seconds_max / seconds_min, 6) as fold, lb as fold_full_range_lower_bound, n_decreasing_steps,
-        n_decreasing_steps = 0 as monotonic, round(case when hi <> 0 then span / hi else 0.0 end, 6) as tail_spread, case when hi <> 0 then span / hi else 0.0 end < 0.10 as plateau
-        from (select file, count(*) as n_eligible, min(seconds) as seconds_min, max(seconds) as seconds_max, count(*) filter (seconds < prev) as n_decreasing_steps,
-            max(seconds) filter (re <= 3) - min(seconds) filter (re <= 3) as span, max(seconds) filter (re <= 3) as hi from (
+    "cost_curve": log_query("""select f.file, coalesce(n_eligible, 0) as n_eligible, seconds_min, seconds_max, round(seconds_max / seconds_min, 6) as fold, lb as fold_full_range_lower_bound, n_decreasing_steps,
+        n_decreasing_steps = 0 as monotonic, round(case when hi <> 0 then span / hi else 0.0 * hi end, 6) as tail_spread, case when hi <> 0 then span / hi else 0.0 * hi end < 0.10 as plateau,
+        case when coalesce(n_eligible, 0) < 3 then 'fewer than 3 eligible iterations' end as note
+        from (select file, round(case when min(seconds) <> 0 then max(seconds) / min(seconds) end, 6) as lb from prof where source = 'log' group by file) f
+        left join (select file, count(*) as n_eligible, case when count(*) >= 3 then min(seconds) end as seconds_min, case when count(*) >= 3 then max(seconds) end as seconds_max,
+            case when count(*) >= 3 then count(*) filter (seconds < prev) end as n_decreasing_steps,
+            case when count(*) >= 3 then max(seconds) filter (re <= 3) - min(seconds) filter (re <= 3) end as span, case when count(*) >= 3 then max(seconds) filter (re <= 3) end as hi from (
             select *, lag(seconds) over (partition by file order by iteration) as prev, row_number() over (partition by file order by iteration desc) as re
-            from prof where source = 'log' and eligible) group by file) c
-        join (select file, round(case when min(seconds) <> 0 then max(seconds) / min(seconds) end, 6) as lb from prof where source = 'log' group by file) f on c.file = f.file where n_eligible >= 3"""),
+            from prof where source = 'log' and eligible) group by file) c on c.file = f.file"""),
     "top_features": query(VIEW_NAMES, *all_trees(), select="""select dataset, rank, feature, accuracy from (
         select *, row_number() over (partition by dataset order by accuracy desc, feature) as rank from scores) where rank <= 3"""),
     "missing_tables": """select * from (values ('t_click', 'no event of type click was logged'), ('t_error', 'no event of type error was logged'),

@@ -24,8 +24,9 @@ LINE_RETURNED = f"""line_returned as (
 ORDER_STATUS = f"""order_status as (
   select o_orderkey as id, cast(o_orderstatus = 'F' as int) as label,
          o_totalprice as totalprice, cast({day('o_orderdate')} as double) as order_day,
-         cast(substr(o_orderpriority, 1, 1) as double) as priority, n_lines, sum_qty, avg_discount_pct
-  from orders join (
+         cast(substr(o_orderpriority, 1, 1) as double) as priority, coalesce(n_lines, 0.0) as n_lines,
+         coalesce(sum_qty, 0.0) as sum_qty, coalesce(avg_discount_pct, 0.0) as avg_discount_pct
+  from orders left join (
     select l_orderkey, cast(count(*) as double) as n_lines,
            cast(sum(cast(round(l_quantity) as bigint)) as double) as sum_qty,
            cast(sum(cast(round(l_discount * 100) as bigint)) as double) / cast(count(*) as double) as avg_discount_pct

@@ -49,3 +49,22 @@ def test_spearman_monotone_reversed_and_constant(spark):
     data += [("flat", float(i), 1.0) for i in range(20)]
     rho = {r["k"]: r["rho"] for r in spearman(spark.createDataFrame(data, "k string, x double, y double"), ["k"], "x", "y").collect()}
     assert rho["up"] == pytest.approx(1.0) and rho["down"] == pytest.approx(-1.0) and rho["flat"] == 0.0
+
+
+def test_null_groups_keep_their_rows(spark):
+    from labelwatch.operators.ordering import hash_rank
+
+    df = spark.range(100).selectExpr("id", "if(id % 10 = 0, null, cast(id % 2 as int)) as label")
+    got = hash_rank(df, ["label"], "id", "t", total="of").collect()
+    assert len(got) == 100
+    assert sorted(r.rank for r in got if r.label is None) == list(range(1, 11))
+    assert {r.of for r in got if r.label is None} == {10}
+
+
+def test_orders_without_lines_stay(spark):
+    from labelwatch.sources.views import order_status
+
+    folder = "/root/testdata/sf0.001"
+    t = order_status(spark, folder)
+    assert t.frame.count() == spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert t.frame.filter("n_lines is null or sum_qty is null").isEmpty()
