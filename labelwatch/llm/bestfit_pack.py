@@ -106,30 +106,31 @@ def plan_slots(counts: dict[int, int], size: int) -> list[tuple[int, int, int, i
         rank, left = 0, counts[length]
         while left:
             room = min((r for r in open_by_room if r >= length), default=None)
-            if room is None:
-                # each fresh sequence takes this length until it no longer fits
-                per = size // length
-                full, rest = divmod(left, per)
-                for n, times in ((full, per), (1 if rest else 0, rest)):
-                    if n:
-                        for j in range(times):
-                            plan.append((length, rank, n, sequences, j * length))
-                            rank += n
-                        if size - times * length:
-                            open_by_room.setdefault(size - times * length, []).append((sequences, n))
-                        sequences += n
-                left = 0
-                continue
-            first, n = open_by_room[room].pop()
-            if not open_by_room[room]:
-                del open_by_room[room]
-            take = min(n, left)
-            if n > take:
-                open_by_room.setdefault(room, []).append((first + take, n - take))
-            plan.append((length, rank, take, first, size - room))
-            if room > length:
-                open_by_room.setdefault(room - length, []).append((first, take))
-            rank, left = rank + take, left - take
+            if room is None:  # fresh sequences
+                room, n = size, left
+                first = sequences
+            else:
+                first, n = open_by_room[room].pop()
+                if not open_by_room[room]:
+                    del open_by_room[room]
+            # the sequence that took one has the tightest room for the next, until this length no longer fits
+            per = room // length
+            full = min(n, left // per)
+            rest = left - full * per if full < n and left - full * per < per else 0
+            used = full + (rest > 0)
+            if first == sequences:
+                n = used
+                sequences += used
+            for at, many, times in ((first, full, per), (first + full, 1, rest)):
+                if many and times:
+                    for j in range(times):
+                        plan.append((length, rank, many, at, size - room + j * length))
+                        rank += many
+                    left -= many * times
+                    if room > times * length:
+                        open_by_room.setdefault(room - times * length, []).append((at, many))
+            if n > used:
+                open_by_room.setdefault(room, []).append((first + used, n - used))
     return plan
 
 

@@ -6,8 +6,8 @@ and matches, summed in turn, give each start in code points.
 Markov part: candidates are runs of 20 and more characters of A-Z a-z 0-9 + / _ = - . Two first-order character
 models are compared by the log-likelihood ratio over a candidate's character pairs. The model of random strings is
 trained from the values that the fixed patterns found in all documents, the model of ordinary identifiers from
-words of 8 and more such characters in a sample of at most ``SAMPLE_DOCS`` documents (those with the smallest hash
-of doc_id; the only bound, and only of the fit). Both are smoothed by one count for each pair. A candidate is a
+words of 8 to 19 such characters in a sample of at most ``SAMPLE_DOCS`` documents (those with the smallest hash
+of doc_id; the only bound, and only of the fit). Both back off to single characters. A candidate is a
 secret if the ratio exceeds the prior odds against it and its span meets no pattern match.
 """
 
@@ -26,10 +26,11 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a greedy run of 16 and more
 HEX = r"[0-9a-f]{32,}"  # the whole run, since a match starts where the run does
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-WORD = r"[A-Za-z0-9+/_=-]{8,}"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,19}(?![A-Za-z0-9+/_=-])"  # too short for a candidate
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SAMPLE_DOCS = 2000
 ODDS = math.log(10_000)
+BACK_OFF = 16
 
 
 def _matches(text: str, pattern: str, value: int, kind: int) -> Column:
@@ -59,12 +60,19 @@ def _pair_counts(strings: DataFrame) -> np.ndarray:
     """Counts of character pairs of a column of strings; the alphabet's square is what reaches the driver."""
     n = len(ALPHABET)
     pairs = strings.filter("length(s) > 1").select(F.explode(F.expr("transform(sequence(1, length(s) - 1), i -> substring(s, i, 2))")).alias("p"))
-    counts = np.ones((n, n))
+    counts = np.zeros((n, n))
     for pair, c in pairs.groupBy("p").count().collect():
         counts[ALPHABET.index(pair[0]), ALPHABET.index(pair[1])] += c
     return counts
 
 
+def _transitions(counts: np.ndarray) -> np.ndarray:
+    """Probability of the second character after the first, backed off to its own frequency."""
+    n = len(ALPHABET)
+    single = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * n)
+    return (counts + BACK_OFF * single) / (counts.sum(1, keepdims=True) + BACK_OFF)
+
+
 def pair_ratios(docs: DataFrame, base: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratio (random against ordinary) of each character pair, by first and second character."""
     values = base.select(F.explode("base.value").alias("s"))
@@ -73,8 +81,7 @@ def pair_ratios(docs: DataFrame, base: DataFrame, sample_docs: int = SAMPLE_DOCS
     # what the patterns call secret is no ordinary word
     words = (sample.join(base.select("doc_id", "base.value"), "doc_id")
              .select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), "value")).alias("s")))
-    random, ordinary = _pair_counts(values), _pair_counts(words)
-    ratio = np.log(random / random.sum(1, keepdims=True)) - np.log(ordinary / ordinary.sum(1, keepdims=True))
+    ratio = np.log(_transitions(_pair_counts(values))) - np.log(_transitions(_pair_counts(words)))
     return [round(x, 6) for x in ratio.ravel().tolist()]
 
 
