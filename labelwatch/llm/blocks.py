@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from labelwatch.session import scratch_folder
 
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
 ROOT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -79,7 +79,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=3)  # two bytes-sized or word-sized tables and one more: tens of MB
 def _powers(size: int, root: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         one = np.ones(1, U)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from labelwatch.llm.blocks import ragged
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
-ENCODED_BYTES = 8_000_000  # of text at once: distinct pre-tokens are looked up once each time
+ENCODED_BYTES = 4_000_000  # of text at once: distinct pre-tokens are looked up once each time
 SEPARATOR = 0xD800  # a lone surrogate
 _WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _TAILS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -112,7 +112,7 @@ class PieceEncoder:
     Known pre-tokens are kept per task up to ``limit``, then forgotten, so memory is bounded.
     """
 
-    def __init__(self, encode, specials: dict[str, int], byte_level: bool, limit: int = 500_000,
+    def __init__(self, encode, specials: dict[str, int], byte_level: bool, limit: int = 800_000,
                  normal=None) -> None:
         self.encode, self.specials, self.byte_level, self.limit = encode, specials, byte_level, limit
         self.normal = normal or (lambda text: text)

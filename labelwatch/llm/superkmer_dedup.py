@@ -133,7 +133,7 @@ class _Seen:
         self.key, self.digests = None, np.zeros((0, 2), U)
 
 
-def _repeats(window: int, block_bytes: int = 8_000_000):
+def _repeats(window: int, block_bytes: int = 2_000_000):
     """Windows that also start earlier; rows come sorted by key, doc_id, start."""
     def block(part: pa.Table, seen: _Seen) -> pa.RecordBatch | None:
         ids = part.column("doc_id").to_numpy()

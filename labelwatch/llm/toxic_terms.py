@@ -34,7 +34,7 @@ FUZZY_LENGTH = 5  # shorter terms have too many neighbours
 MISSPELT = 0.05
 AROUND = 3
 QUOTED = '"'
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 _STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„‘’‚¡¿…–—"
 _QUOTES = set("\"'«»“”„‘’‚`")
 
