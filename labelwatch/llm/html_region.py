@@ -118,7 +118,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for part in _parts(r):
                         seen[part] += words
     keys = sorted(inside.keys() | outside.keys())
-    yield pd.DataFrame({"key": keys, "inside": [inside[k] for k in keys], "outside": [outside[k] for k in keys]})
+    if keys:  # an empty frame has no column types
+        yield pd.DataFrame({"key": keys, "inside": [inside[k] for k in keys], "outside": [outside[k] for k in keys]})
 
 
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Weights:
