@@ -113,7 +113,7 @@ def per_seed(s, p):
 
 
 def summary(s, p):
-    return ag.agreement_summary(per_seed(s, p), ["dataset"], ["tau", "jaccard", "sign_top"], n=200)
+    return ag.agreement_summary(per_seed(s, p), ["dataset"], ["tau", "jaccard", "sign_top"], n=1000)
 
 
 def cross_pairs(s, p, directions=False):
@@ -181,7 +181,7 @@ QUERIES = {
     "rho_pairs": lambda s, p: ag.rho_pairs(half_pairs(s, p, directions=True), KEYS),
     "bootstrap_ci": lambda s, p: ag.bootstrap_tau_ci(half_pairs(s, p), KEYS),
     "bootstrap_mean_ci": lambda s, p: ag.bootstrap_mean_ci(half_pairs(s, p), KEYS, "abs_a", "feature"),
-    "all_agreement": lambda s, p: ag.all_agreement(half_pairs(s, p), KEYS, KS, n_perm=1000),
+    "all_agreement": lambda s, p: ag.all_agreement(half_pairs(s, p), KEYS, KS, n_perm=10000),
     "half_agreement": lambda s, p: per_seed(s, p),
     "agreement_summary": summary,
     "stability_band": lambda s, p: ag.stability_band(ag.kendall_tau(half_pairs(s, p, SEEDS), KEYS).groupBy("dataset").agg(

@@ -1,4 +1,4 @@
-"""Registered queries that need a fitted tree model; no SQL states their result."""
+"""Registered queries that need a fitted tree model; SQL states the invariants, not the fits."""
 
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ QUERIES = {
     "random_search": lambda s, p: models.random_search(split_planted(s, p)),
     "tree_complexity": lambda s, p: models.tree_complexity(split_planted(s, p)),
     "attribution_tree": lambda s, p: models.explain_forest(split_planted(s, p)).attributions,
+    "attribution_members": lambda s, p: models.explain_members(split_planted(s, p)).attributions,
+    "attribution_members_additivity": lambda s, p: models.member_additivity(split_planted(s, p)),
     "attribution_tree_additivity": lambda s, p: models.tree_additivity(split_planted(s, p)),
     "progressive_removal": lambda s, p: models.progressive_removal(split_planted(s, p)),
     "screen_benchmark": lambda s, p: screen_benchmark(v.planted(s, p)),

@@ -154,7 +154,7 @@ QUERIES = {
     "concept_mapping_table": mapping,
     "concept_loss": lost_concepts,
     "transfer_matrix": matrix,
-    "transfer_summary": lambda s, p: tr.transfer_summary(settle(matrix(s, p)), n=200),
+    "transfer_summary": lambda s, p: tr.transfer_summary(settle(matrix(s, p)), n=1000),
     "transfer_verdict": verdicts,
     "rule_sufficiency": sufficiency,
     "faithfulness_summary": lambda s, p: tr.faithfulness_summary(sufficiency(s, p)),
@@ -173,7 +173,7 @@ QUERIES = {
     "prefer_measured": lambda s, p: timing.prefer_measured(costs(s, p)).select("file", "iteration", "line_no", "seconds", "cache_replay"),
     "cost_profile": profile,
     "cost_curve": lambda s, p: timing.cost_curve(profile(s, p)),
-    "top_features": lambda s, p: reporting.top_features(tree_scores(s, p), 3),
+    "top_features": lambda s, p: reporting.top_features(tree_scores(s, p), 15),
     "missing_tables": missing,
     "display_names": named,
     "sig_figs": lambda s, p: reporting.sig_figs(

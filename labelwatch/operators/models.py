@@ -1,9 +1,10 @@
-"""Tree models by MLlib, and exact Shapley attributions of the forests they grow."""
+"""Tree models by MLlib, and exact Shapley attributions of the trees they grow."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from itertools import product
 from math import factorial
 
 import numpy as np
@@ -21,12 +22,14 @@ from labelwatch.operators import scoring
 from labelwatch.operators.importance import global_importance
 from labelwatch.operators.removal import MAX_REMOVED, TARGET_ACCURACY, removed_marks
 from labelwatch.operators.splitting import background_sample, stratified_folds, stratified_sample
-from labelwatch.session import scratch_folder, settle
+from labelwatch.session import scratch_folder
 from labelwatch.sources.tables import local_table
 from labelwatch.sources.views import LabelledTable
 
 MODELS = ("forest", "boosted_deep", "boosted_wide")
 SEARCH_SPACE = {"numTrees": (5, 10, 20), "maxDepth": (3, 5, 8), "minInstancesPerNode": (1, 5)}
+N_EXPLAIN = 2000
+EXPLAINED_AT_ONCE = 128  # rows of one array of (row, background row, feature) parts
 
 
 def assemble(table: LabelledTable) -> DataFrame:
@@ -86,9 +89,10 @@ def performance_grid(tables: Sequence[LabelledTable], seed: int = 42) -> DataFra
 
 
 def random_search(table: LabelledTable, n_iter: int = 4, folds: int = 3, seed: int = 42) -> DataFrame:
-    """Sampled forest parameters, each scored by stratified cross-validation on F1 of the positive class."""
-    rng = np.random.default_rng(seed)
-    draws = [{k: int(rng.choice(v)) for k, v in SEARCH_SPACE.items()} for _ in range(n_iter)]
+    """Sampled forest parameters, no cell twice, scored by stratified cross-validation on F1 of the positive class."""
+    cells = [dict(zip(SEARCH_SPACE, cell)) for cell in product(*SEARCH_SPACE.values())]
+    drawn = np.random.default_rng(seed).choice(len(cells), min(n_iter, len(cells)), replace=False)
+    draws = [cells[i] for i in drawn]
     estimator = learner("forest", seed)
     maps = [{estimator.getParam(k): v for k, v in one.items()} for one in draws]
     metric = MulticlassClassificationEvaluator(labelCol="label", predictionCol="_y_forest",
@@ -103,19 +107,23 @@ def random_search(table: LabelledTable, n_iter: int = 4, folds: int = 3, seed: i
 
 
 def node_table(model, spark) -> DataFrame:
-    """The nodes of a fitted forest as MLlib stores them: (tree, id, left, right, feature, cut, n0, n1)."""
-    path = f"{scratch_folder(spark)}/forest"
+    """The nodes of fitted trees as MLlib stores them: (tree, id, left, right, feature, cut, n0, n1, prediction)."""
+    path = f"{scratch_folder(spark)}/trees"
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     return nodes.select(
         F.col("treeID").alias("tree"), "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
         F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
-        F.get("impurityStats", F.lit(0)).alias("n0"), F.get("impurityStats", F.lit(1)).alias("n1"))
+        F.get("impurityStats", F.lit(0)).alias("n0"), F.get("impurityStats", F.lit(1)).alias("n1"),
+        "prediction")
 
 
 @dataclass(frozen=True)
 class LeafBoxes:
-    """A forest as boxes: leaf i holds where low[i] < x <= high[i] and adds value[i] to the score."""
+    """Trees as boxes: leaf i holds where low[i] < x <= high[i] and adds value[i] to the score.
+
+    The score is the probability, or with ``boosted`` the margin m of 1 / (1 + exp(-2 m)).
+    """
 
     low: np.ndarray
     high: np.ndarray
@@ -123,10 +131,17 @@ class LeafBoxes:
     depth: np.ndarray
     n_nodes: int
     n_trees: int
+    boosted: bool = False
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for lo, hi, value in zip(self.low, self.high, self.value):
+            out += value * ((x > lo) & (x <= hi)).all(axis=1)
+        return out
 
-def leaf_boxes(nodes: DataFrame, n_features: int) -> LeafBoxes:
-    """Walk the node table of one model (model-sized) from the roots to the leaves."""
+
+def leaf_boxes(nodes: DataFrame, n_features: int, weights: Sequence[float] | None = None) -> LeafBoxes:
+    """Walk the node table of one model (model-sized) from the roots to the leaves; weights: of boosted trees."""
     by_key = {(r["tree"], r["id"]): r for r in nodes.collect()}
     trees = sorted({t for t, _ in by_key})
     low, high, value, depth = [], [], [], []
@@ -136,13 +151,24 @@ def leaf_boxes(nodes: DataFrame, n_features: int) -> LeafBoxes:
         node = by_key[tree, node_id]
         if node["left"] < 0:
             low.append(lo), high.append(hi), depth.append(level)
-            value.append(node["n1"] / (node["n0"] + node["n1"]) / len(trees))
+            value.append(node["prediction"] * weights[tree] if weights else
+                         node["n1"] / (node["n0"] + node["n1"]) / len(trees))
             continue
         f, cut = node["feature"], node["cut"]
         left_hi, right_lo = hi.copy(), lo.copy()
         left_hi[f], right_lo[f] = min(hi[f], cut), max(lo[f], cut)
         stack += [(tree, node["left"], lo, left_hi, level + 1), (tree, node["right"], right_lo, hi, level + 1)]
-    return LeafBoxes(np.array(low), np.array(high), np.array(value), np.array(depth), len(by_key), len(trees))
+    return LeafBoxes(np.array(low), np.array(high), np.array(value), np.array(depth), len(by_key), len(trees),
+                     bool(weights))
+
+
+def _leaf_weights(gx: np.ndarray, gb: np.ndarray, fact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of one leaf for each (row, background row): of features only the row satisfies, and only the other."""
+    a, b = (gx @ (1 - gb).T).astype(int), ((1 - gx) @ gb.T).astype(int)
+    live = ((1 - gx) @ (1 - gb).T) == 0
+    both = fact[a + b]
+    return (np.where(live & (a > 0), fact[np.maximum(a - 1, 0)] * fact[b] / both, 0.0),
+            np.where(live & (b > 0), fact[a] * fact[np.maximum(b - 1, 0)] / both, 0.0))
 
 
 def _box_shapley(x: np.ndarray, background: np.ndarray, boxes: LeafBoxes) -> np.ndarray:
@@ -160,39 +186,66 @@ def _box_shapley(x: np.ndarray, background: np.ndarray, boxes: LeafBoxes) -> np.
             continue
         gx = ((x[:, used] > lo[used]) & (x[:, used] <= hi[used])).astype(float)
         gb = ((background[:, used] > lo[used]) & (background[:, used] <= hi[used])).astype(float)
-        only_x, only_b = gx @ (1 - gb).T, (1 - gx) @ gb.T
-        a, b = only_x.astype(int), only_b.astype(int)
-        live = ((1 - gx) @ (1 - gb).T) == 0
-        both = fact[a + b]
-        wx = np.where(live & (a > 0), fact[np.maximum(a - 1, 0)] * fact[b] / both, 0.0)
-        wb = np.where(live & (b > 0), fact[a] * fact[np.maximum(b - 1, 0)] / both, 0.0)
+        wx, wb = _leaf_weights(gx, gb, fact)
         out[:, used] += value * (gx * (wx @ (1 - gb)) - (1 - gx) * (wb @ gb))
     return out / len(background)
 
 
-def attribution_tree(explain: LabelledTable, background: LabelledTable, boxes: LeafBoxes) -> DataFrame:
-    """(id, feature, value, attribution) of a forest in probability space.
-
-    Rows stay partitioned; every task receives the leaf boxes and the fixed-size
-    background once and works on Arrow batches.
+def _boosted_shapley(x: np.ndarray, background: np.ndarray, boxes: LeafBoxes) -> np.ndarray:
+    """Shapley values of the margin for each background row, rescaled to the change in probability, then averaged."""
+    parts = np.zeros((len(x), len(background), x.shape[1]))
+    fact = np.array([float(factorial(i)) for i in range(2 * x.shape[1] + 2)])
+    for lo, hi, value in zip(boxes.low, boxes.high, boxes.value):
+        used = np.isfinite(lo) | np.isfinite(hi)
+        if not used.any() or value == 0.0:
+            continue
+        gx = ((x[:, used] > lo[used]) & (x[:, used] <= hi[used])).astype(float)
+        gb = ((background[:, used] > lo[used]) & (background[:, used] <= hi[used])).astype(float)
+        wx, wb = _leaf_weights(gx, gb, fact)
+        parts[:, :, used] += value * (gx[:, None] * (1 - gb) * wx[:, :, None] - (1 - gx)[:, None] * gb * wb[:, :, None])
+    margins = boxes.score(x)[:, None], boxes.score(background)[None]
+    p, q = (1 / (1 + np.exp(-2 * m)) for m in margins)
+    gap = margins[0] - margins[1]
+    close = np.abs(gap) < 1e-9  # the slope in place of the quotient
+    ratio = np.where(close, 2 * p * (1 - p), (p - q) / np.where(close, 1.0, gap))
+    return (parts * ratio[:, :, None]).mean(axis=1)
+
+
+def attribution_members(explain: LabelledTable, background: LabelledTable, members: Mapping[str, LeafBoxes]) -> DataFrame:
+    """(member, id, feature, value, attribution) of each member and of their vote, all in probability space.
+
+    Rows are dealt by id; every task receives the leaf boxes and the fixed-size
+    background once and works on Arrow batches.  The vote, ``ensemble``, is the mean
+    of the members' parts, as its probability is the mean of theirs.
     """
     names = list(explain.features)
     spark = explain.frame.sparkSession
     # a fixed number of background rows
     bg = np.array([[float(r[f]) for f in names] for r in background.frame.select(*names).collect()])
-    shared = spark.sparkContext.broadcast((bg, boxes))
+    shared = spark.sparkContext.broadcast((bg, dict(members)))
 
     def batches(parts):
-        rows, leaf = shared.value
-        for pdf in parts:
-            x = pdf[names].to_numpy(dtype=float)
-            phi = _box_shapley(x, rows, leaf)
-            yield pd.DataFrame({
-                "id": np.repeat(pdf["id"].to_numpy(), len(names)), "feature": names * len(pdf),
-                "value": x.ravel(), "attribution": phi.ravel()})
+        rows, boxes = shared.value
+        for whole in parts:
+            for at in range(0, len(whole), EXPLAINED_AT_ONCE):
+                pdf = whole.iloc[at: at + EXPLAINED_AT_ONCE]
+                x = pdf[names].to_numpy(dtype=float)
+                phi = {n: (_boosted_shapley if b.boosted else _box_shapley)(x, rows, b) for n, b in boxes.items()}
+                phi["ensemble"] = sum(phi.values()) / len(phi)
+                for member, own in phi.items():
+                    yield pd.DataFrame({
+                        "member": member, "id": np.repeat(pdf["id"].to_numpy(), len(names)), "feature": names * len(pdf),
+                        "value": x.ravel(), "attribution": own.ravel()})
 
     wide = explain.frame.select(F.col(explain.id_col).cast("string").alias("id"), *[d(f).alias(f) for f in names])
-    return wide.mapInPandas(batches, "id string, feature string, value double, attribution double")
+    # a number of partitions of its own: adaptive execution would put so few rows into one
+    dealt = wide.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return dealt.mapInPandas(batches, "member string, id string, feature string, value double, attribution double")
+
+
+def attribution_tree(explain: LabelledTable, background: LabelledTable, boxes: LeafBoxes) -> DataFrame:
+    """(id, feature, value, attribution) of one model."""
+    return attribution_members(explain, background, {"model": boxes}).filter("member = 'model'").drop("member")
 
 
 @dataclass(frozen=True)
@@ -204,7 +257,42 @@ class ExplainedForest:
     attributions: DataFrame
 
 
-def explain_forest(table: LabelledTable, seed: int = 42, n_explain: int = 200) -> ExplainedForest:
+@dataclass(frozen=True)
+class ExplainedMembers:
+    models: Mapping
+    sample: LabelledTable
+    background: LabelledTable
+    attributions: DataFrame
+
+
+def explain_members(table: LabelledTable, seed: int = 42, n_explain: int = N_EXPLAIN,
+                    names: Sequence[str] = MODELS) -> ExplainedMembers:
+    """Fit the members on train, explain each and their vote on a stratified sample of test."""
+    models = fit_base_models(table, seed, names=names)
+    boxes = {n: leaf_boxes(node_table(m, table.frame.sparkSession), len(table.features),
+                           None if n == "forest" else list(m.treeWeights)) for n, m in models.items()}
+    sample = stratified_sample(table.where(F.col("split") == "test"), n_explain, seed)
+    background = background_sample(table, seed=seed)
+    return ExplainedMembers(models, sample, background, attribution_members(sample, background, boxes))
+
+
+def member_additivity(table: LabelledTable, seed: int = 42) -> DataFrame:
+    """Per member and for the vote: do attributions sum to score minus mean background score within 1e-9?"""
+    e = explain_members(settled(table), seed)
+
+    def scores(t: LabelledTable) -> DataFrame:
+        return score_models(t, e.models).unpivot(["id"], [f"p_{n}" for n in (*e.models, "ensemble")], "member", "p").select(
+            F.expr("substring(member, 3)").alias("member"), F.col("id").cast("string").alias("id"), "p")
+
+    base = scores(e.background).groupBy("member").agg(F.avg("p").alias("base"))
+    sums = e.attributions.groupBy("member", "id").agg(F.sum("attribution").alias("total"))
+    return sums.join(scores(e.sample), ["member", "id"]).join(base, "member").groupBy("member").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.max(F.abs(F.col("total") - F.col("p") + F.col("base"))) < 1e-9).alias("additive")).select(
+        F.lit(table.name).alias("dataset"), "member", "n_rows", "additive")
+
+
+def explain_forest(table: LabelledTable, seed: int = 42, n_explain: int = N_EXPLAIN) -> ExplainedForest:
     """Fit a forest on train, explain a stratified sample of test against a train background."""
     model = fit_base_models(table, seed, names=("forest",))["forest"]
     boxes = leaf_boxes(node_table(model, table.frame.sparkSession), len(table.features))
@@ -242,12 +330,15 @@ def test_accuracy(table: LabelledTable, model) -> float:
 
 
 def settled(table: LabelledTable) -> LabelledTable:
-    """The split written once, for loops whose every fit reads it several times."""
-    return replace(table, frame=settle(table.frame.select(table.id_col, table.label_col, "split", *table.features)))
+    """The split written once in the shared folder; each fit reads only the features it uses."""
+    rows = table.frame.select(table.id_col, table.label_col, "split", *table.features)
+    path = f"{scratch_folder(rows.sparkSession)}/split"
+    rows.write.parquet(path)
+    return replace(table, frame=rows.sparkSession.read.schema(rows.schema).parquet(path))
 
 
 def progressive_removal(table: LabelledTable, target: float = TARGET_ACCURACY, max_removed: int = MAX_REMOVED,
-                        seed: int = 42, n_explain: int = 200) -> DataFrame:
+                        seed: int = 42, n_explain: int = N_EXPLAIN) -> DataFrame:
     """Fit, score, rank by attribution, drop the top feature; until accuracy falls below target.
 
     The driver holds one number and one name per round; the curve is a table of
@@ -291,7 +382,7 @@ def sufficiency(table: LabelledTable, ks: Sequence[int] = (3, 5), seed: int = 42
                        "comprehensiveness_accuracy double, performance_retained double, performance_lost double")
 
 
-def half_attributions(table: LabelledTable, seed: int = 42, n_explain: int = 200) -> DataFrame:
+def half_attributions(table: LabelledTable, seed: int = 42, n_explain: int = N_EXPLAIN) -> DataFrame:
     """Forest attributions of either half, each with its own model, sample and background."""
     parts = []
     for half in ("a", "b"):

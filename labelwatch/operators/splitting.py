@@ -46,21 +46,27 @@ def stratified_folds(table: LabelledTable, folds: int = FOLDS, seed: int = 42) -
 def stratified_sample(table: LabelledTable, n: int, seed: int = 42) -> LabelledTable:
     """About n rows in class proportion, at least one per class, never more than n.
 
-    A class gets round(n * share) rows; the overall cap keeps the rows that come
-    first in their class.  The class sizes ride along with the ranks, so no
-    count is brought to the driver.
+    A class gets round(n * share) rows; where rounding gives more than n, the last
+    ranks give way.  NULL is a class of its own.  All of this is settled on the
+    table of classes, so the rows need no global order and stay partitioned.
     """
     ranked = _ranked(table, "sample", seed)
     # One row per class: the window over it is as small as the set of classes.
     classes = table.frame.groupBy(table.label_col).agg(F.count(F.lit(1)).alias("_class"))
     pool = F.sum("_class").over(Window.partitionBy(F.lit(0)))
     quota = F.greatest(F.lit(1), F.floor(d(F.least(F.lit(n), pool)) * d("_class") / d(pool) + 0.5))
-    quotas = classes.select(table.label_col, quota.cast("bigint").alias("_quota"))
-    kept = ranked.join(F.broadcast(quotas), table.label_col).filter(F.col("_rank") <= F.col("_quota"))
-    # At most quota rows per class pass, so the final cap orders about n rows.
-    frame = (kept.orderBy("_rank", table.label_col, table.id_col).limit(n)
-             .drop("_rank", "_total", "_quota"))
-    return replace(table, frame=frame)
+    every = Window.partitionBy(F.lit(0))
+    quotas = classes.select(F.col(table.label_col).alias("_of"), quota.cast("bigint").alias("_quota")).withColumn(
+        "_excess", F.sum("_quota").over(every) - F.lit(n))
+    # the excess is below the number of classes, so few ranks per class can be concerned
+    last = quotas.filter("_excess > 0").select("_of", "_excess", F.explode(F.sequence(
+        F.greatest(F.lit(1), F.col("_quota") - F.col("_excess") + 1), F.col("_quota"))).alias("_at"))
+    gone = (last.withColumn("_nth", F.row_number().over(every.orderBy(F.desc("_at"), F.desc("_of"))))
+            .filter("_nth <= _excess").groupBy(F.col("_of").alias("_less_of")).agg(F.count(F.lit(1)).alias("_less")))
+    quotas = quotas.join(gone, F.col("_of").eqNullSafe(F.col("_less_of")), "left").select(
+        "_of", (F.col("_quota") - F.coalesce("_less", F.lit(0))).alias("_quota"))
+    kept = ranked.join(F.broadcast(quotas), F.col(table.label_col).eqNullSafe(F.col("_of"))).filter("_rank <= _quota")
+    return replace(table, frame=kept.drop("_rank", "_total", "_of", "_quota"))
 
 
 def background_sample(table: LabelledTable, n: int = BACKGROUND_ROWS, seed: int = 42) -> LabelledTable:

@@ -193,7 +193,7 @@ def _summary():
     joins = ""
     for m in metrics:
         ctes += [f"mv_{m} as (select dataset, seed, {m} as v from per_seed where {m} is not null)",
-                 boot_cte(f"mv_{m}", "dataset", ["v"], "seed", 200, f"b_{m}"),
+                 boot_cte(f"mv_{m}", "dataset", ["v"], "seed", 1000, f"b_{m}"),
                  f"st_{m} as (select dataset, rep, avg(v) as stat from b_{m} group by dataset, rep)",
                  interval_sql(f"st_{m}", "dataset", None, f"iv_{m}")]
         joins += f" left join (select dataset, ci_lower as {m}_ci_lower, ci_upper as {m}_ci_upper from iv_{m}) using (dataset)"
@@ -305,7 +305,7 @@ ORACLES = {
     "all_agreement": half_query(f"""select * from pvals join (select dataset, seed, p_empirical, null_mean, null_std from nulls) using (dataset, seed)
         join (select dataset, seed, {', '.join(f'max(jaccard) filter (k = {k}) as jaccard_{k}' for k in _K3)} from jac group by 1, 2) using (dataset, seed)
         join (select dataset, seed, {_PIVOT_SIGN} from signs group by 1, 2) using (dataset, seed) join weighted using (dataset, seed)""",
-        tau_cte(), pvalue_cte(), null_cte(1000), top_cte(), jaccard_cte(_K3), sign_cte(_K3), weighted_cte()),
+        tau_cte(), pvalue_cte(), null_cte(10000), top_cte(), jaccard_cte(_K3), sign_cte(_K3), weighted_cte()),
     "half_agreement": query(PAIR_VIEWS, *per_seed_ctes(), select="select * from per_seed"),
     "agreement_summary": _summary(),
     "stability_band": half_query("""select *, case when tau_mean > 0.85 then 'stable' when tau_mean < 0.70 then 'unstable' else 'intermediate' end as stability

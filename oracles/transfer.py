@@ -106,7 +106,7 @@ def log_query(select, *more):
 
 def _summary():
     ml = "mlong as (" + " union all ".join(f"select direction, seed, '{m}' as metric, cast({m} as double) as v from matrix" for m in METRICS) + ")"
-    return query(CV, *_matrix_ctes(), ml, boot_cte("mlong", "direction, metric", ["v"], "seed", 200),
+    return query(CV, *_matrix_ctes(), ml, boot_cte("mlong", "direction, metric", ["v"], "seed", 1000),
                  "st as (select direction, metric, rep, avg(v) as stat from boot group by 1, 2, 3)", interval_sql("st", "direction, metric", None),
                  select="""select direction, metric, n_seeds, std, mean, ci_lower, ci_upper from iv join (select direction, metric, count(*) as n_seeds,
                  round(coalesce(stddev_samp(v), 0.0), 6) + 0.0 as std, round(avg(v), 6) + 0.0 as mean from mlong group by 1, 2) using (direction, metric)""")
@@ -164,7 +164,7 @@ ORACLES = {
             select *, lag(seconds) over (partition by file order by iteration) as prev, row_number() over (partition by file order by iteration desc) as re
             from prof where source = 'log' and eligible) group by file) c on c.file = f.file"""),
     "top_features": query(VIEW_NAMES, *all_trees(), select="""select dataset, rank, feature, accuracy from (
-        select *, row_number() over (partition by dataset order by accuracy desc, feature) as rank from scores) where rank <= 3"""),
+        select *, row_number() over (partition by dataset order by accuracy desc, feature) as rank from scores) where rank <= 15"""),
     "missing_tables": """select * from (values ('t_click', 'no event of type click was logged'), ('t_error', 'no event of type error was logged'),
         ('t_refund', 'no event of type refund was logged'), ('t_view', 'no event of type view was logged')) e(table_name, reason)
         where table_name not in (select 't_' || event_type from events)""",
