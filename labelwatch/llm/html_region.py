@@ -3,7 +3,8 @@
 A page is a sequence of text runs and tags. Each word scores by the log-odds of its context (block tag, inside a
 link, inside an element that is furniture by tag, class or id), each tag scores below zero by how often it stands
 outside content. The weights are counted on labelled pages: those with exactly one article element say which tokens
-are content. A linear scan then finds the contiguous region with the best sum; furniture inside it is left out.
+are content. A linear scan then finds the contiguous region with the best sum. Furniture is left out and scores 0 in the
+scan, words and tags, so it neither joins nor splits a region.
 Only the fit is bounded: at most ``TRAIN_PAGES`` pages, those with the smallest hash of page_id.
 """
 
@@ -61,11 +62,12 @@ def runs(page: str) -> Iterator[Run]:
                 yield Run("", m[0], block, links > 0, furniture > 0, articles > 0)
             continue
         name = name.lower()
+        own = False
         if closing:
             if any(n == name for n, _ in open_):
                 while True:
-                    n, f = open_.pop()
-                    furniture -= f
+                    n, own = open_.pop()
+                    furniture -= own
                     links -= n == "a"
                     articles -= n in ("article", "main")
                     if n == name:
@@ -80,7 +82,8 @@ def runs(page: str) -> Iterator[Run]:
             furniture += own
             links += name == "a"
             articles += name in ("article", "main")
-        yield Run(("/" if closing else "") + name, "", "", False, furniture > 0, articles > 0)
+        # the tag that closes furniture is part of it
+        yield Run(("/" if closing else "") + name, "", "", False, furniture > 0 or own, articles > 0)
 
 
 class Weights(NamedTuple):
@@ -89,6 +92,8 @@ class Weights(NamedTuple):
     tags: dict[str, float]
 
     def of(self, run: Run) -> float:
+        if run.furniture:
+            return 0.0
         if run.tag:
             return self.tags.get(run.tag.lstrip("/"), -0.5)
         words = len(run.text.split())

@@ -293,6 +293,21 @@ def test_html(spark):
     assert got[3] == (want, len(want)) and got[30] == got[31] == ("", 0) and len(got) == 24
 
 
+def test_html_furniture_inside_the_article(spark):
+    """A long advert, notice, form or aside in mid-article costs neither side."""
+    plain = ("<html><body><nav><a href='/a'>Menu one</a></nav><div class='ad'>Buy this now</div><article><h1>Head line</h1><p>Some words here."
+             "</p></article><div class='comments'><p>Nice post</p></div><footer>me</footer></body></html>")
+    lead, rest = "lead " * 30, "rest " * 40
+    between = [f"<div class='ad'>{'buy ' * 12}</div>", f"<div class='notice'><p>{'note ' * 60}</p><ul><li>x</li></ul></div>",
+               f"<form><p>{'field ' * 25}</p><button>go</button></form>", f"<aside><p>{'see <b>also</b> ' * 40}</p></aside>"]
+    rows = [(i, "u", plain) for i in range(20)]
+    rows += [(100 + i, "u", plain.replace("<p>Some words here.</p>", f"<p>{lead}</p>{b}<p>{rest}</p>")) for i, b in enumerate(between)]
+    rows += [(200 + i, "u", f"<body><h1>Head line</h1><p>{lead}</p>{b}<p>{rest}</p></body>") for i, b in enumerate(between)]
+    got = {r.page_id: r.text for r in html_region.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Head line\nSome words here."
+    assert {got[i] for i in got if i >= 100} == {f"Head line\n{lead.strip()}\n{rest.strip()}"}
+
+
 def test_empty_tables(spark, nothing):
     import public_tokenizers
 
