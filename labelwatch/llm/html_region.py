@@ -32,11 +32,13 @@ _BLOCK = frozenset("address article aside blockquote body br caption center dd d
                    "form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td "
                    "tfoot th thead tr ul".split())
 _FURNITURE = frozenset("nav aside footer form menu dialog button label".split())
-_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|"
+_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|"
                    r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|"
                    r"comments?|disqus|repl(?:y|ies)|respond|login|signup|skip|pagination|pager|widget|toolbar|tags?)(?:$|[\s_-])", re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
+# of a site, not of an article
+_HEADER = re.compile(r"(?:^|[\s_-])(?<!entry.)(?<!post.)(?<!article.)(?:header|masthead)(?:$|[\s_-])", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACES = re.compile(r"\s+")
 
 
@@ -51,39 +53,89 @@ class Run(NamedTuple):
     content: bool  # inside an article element
 
 
-def runs(page: str) -> Iterator[Run]:
-    open_: list[tuple[str, bool]] = []  # name, furniture
-    furniture = links = articles = 0
+class _Mark(NamedTuple):
+    """Start of an element that looks like furniture: the mark around it, whether it may wrap a page, and where it stands."""
+
+    outer: int
+    wraps: bool  # marked by its attributes, a header or a form
+    within: dict[str, int]  # open elements
+    before: dict[str, int]  # words up to here: "" all, "article" and "main" those inside
+
+
+def _hinted(attributes: str, content: bool) -> bool:
+    """Whether class, id or role hint at furniture, or the element is hidden."""
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id", "role") and (_HINT.search(value) or not content and _HEADER.search(value)):
+            return True
+        if key == "hidden" and value.lower() != "false" or key == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
+def runs(page: str) -> list[Run]:
+    """Text runs and tags of a page in order.
+
+    An article or main element ends the furniture that encloses it, unless it is an article in an article. A wrapper of
+    most words of the page is no furniture by its hints, unless the page's article stands elsewhere.
+    """
+    found: list[tuple[Run, int]] = []  # with the innermost mark around it, or -1
+    marks: list[_Mark] = []
+    ends: dict[int, dict[str, int]] = {}
+    open_: list[tuple[str, int, int]] = []  # name, mark around it, own mark or -1
+    mark, links = -1, 0
+    depth, words = {"article": 0, "main": 0}, {"": 0, "article": 0, "main": 0}
+
+    def close() -> tuple[str, int]:
+        nonlocal mark, links
+        n, mark, own = open_.pop()
+        links -= n == "a"
+        if n in depth:
+            depth[n] -= 1
+        if own >= 0:
+            ends[own] = dict(words)
+        return n, own
+
     for m in _TOKEN.finditer(page):
         closing, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        content = any(depth.values())
         if not name:
             if m[0][0] != "<" or m[0] == "<":
-                block = next((n for n, _ in reversed(open_) if n in _BLOCK), "")
-                yield Run("", m[0], block, links > 0, furniture > 0, articles > 0)
+                block = next((n for n, _, _ in reversed(open_) if n in _BLOCK), "")
+                found.append((Run("", m[0], block, links > 0, False, content), mark))
+                n_words = len(m[0].split())
+                for kind in words:
+                    words[kind] += n_words if not kind or depth[kind] else 0
             continue
-        name = name.lower()
-        own = False
+        name, own = name.lower(), -1
         if closing:
-            if any(n == name for n, _ in open_):
-                while True:
-                    n, own = open_.pop()
-                    furniture -= own
-                    links -= n == "a"
-                    articles -= n in ("article", "main")
-                    if n == name:
-                        break
+            if any(n == name for n, _, _ in open_):
+                n = ""
+                while n != name:
+                    n, own = close()
         elif name not in _VOID:
             if name in ("p", "li", "tr", "td", "dt", "dd", "option") and open_ and open_[-1][0] == name:
-                furniture -= open_.pop()[1]
-            own = name in _FURNITURE or name == "header" and not articles
-            if name not in ("html", "body", "article", "main") and attributes:
-                own = own or any(_HINT.search(a or b or c) for a, b, c in _NAMED.findall(attributes)) or bool(_HIDDEN.search(attributes))
-            open_.append((name, own))
-            furniture += own
+                close()
+            outer = mark
+            if name in depth:
+                if name == "main" or not depth["article"]:
+                    mark = -1
+                depth[name] += 1
+            elif name in _FURNITURE or name == "header" and not content or name not in ("html", "body") and attributes and _hinted(
+                    attributes, content):
+                marks.append(_Mark(mark, name == "form" or name not in _FURNITURE, dict(depth), dict(words)))
+                mark = own = len(marks) - 1
+            open_.append((name, outer, own))
             links += name == "a"
-            articles += name in ("article", "main")
         # the tag that closes furniture is part of it
-        yield Run(("/" if closing else "") + name, "", "", False, furniture > 0 or own, articles > 0)
+        found.append((Run(("/" if closing else "") + name, "", "", False, False, any(depth.values())), own if own >= 0 else mark))
+    kind = "article" if words["article"] else "main"
+    furniture = []
+    for i, k in enumerate(marks):
+        own_words = {w: ends.get(i, words)[w] - n for w, n in k.before.items()}
+        wrapper = k.wraps and 2 * own_words[""] > words[""] and (k.within[kind] or own_words[kind] == words[kind])
+        furniture.append(not wrapper or k.outer >= 0 and furniture[k.outer])
+    return [r._replace(furniture=True) if k >= 0 and furniture[k] else r for r, k in found]
 
 
 class Weights(NamedTuple):
@@ -111,7 +163,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     inside, outside = Counter(), Counter()
     for batch in batches:
         for page in batch.html:
-            found = list(runs(page))
+            found = runs(page)
             if sum(r.tag == "article" for r in found) != 1:
                 continue
             for r in found:
@@ -152,7 +204,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Weights:
 
 def main_text(page: str | None, weights: Weights) -> str:
     """Text of the best region: blocks in page order, one line each."""
-    found = list(runs(page or ""))
+    found = runs(page or "")
     best, begin, end = 0.0, 0, 0
     total, start = 0.0, 0
     for i, r in enumerate(found):

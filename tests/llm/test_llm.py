@@ -308,6 +308,25 @@ def test_html_furniture_inside_the_article(spark):
     assert {got[i] for i in got if i >= 100} == {f"Head line\n{lead.strip()}\n{rest.strip()}"}
 
 
+@pytest.mark.parametrize("around", ["<div class='content has-sidebar'>{}</div>", "<div id=page-comments-open>{}</div>",
+                                    "<div class='overflow-hidden'>{}</div>", "<form id='page'>{}</form>", "<div data-class='ad'>{}</div>"])
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_html_wrappers_are_no_furniture(around, element):
+    body = (f"<{element}><div class='entry-header'><h1>Head line</h1></div><p>{'word ' * 40}</p><p hidden>gone</p>"
+            f"<p style='x:y;display: none'>gone</p><div class='comments'><p>gone</p></div></{element}>")
+    page = f"<body><nav>{'menu ' * 9}</nav>{around.format(body)}<div class='comments'><p>Nice post</p></div></body>"
+    weights = html_region.Weights(1.0, {}, {})
+    assert html_region.main_text(page, weights) == "Head line\n" + ("word " * 40).strip()
+
+
+def test_html_furniture_stays_furniture():
+    """Comments longer than the article, a header of the site, and an aside of most words."""
+    weights = html_region.Weights(1.0, {}, {})
+    long = "note " * 60
+    for extra in (f"<div class='comments'><p>{long}</p></div>", f"<aside>{long}</aside>", "<div class='site-header'>Site</div>"):
+        assert html_region.main_text(f"<body>{extra}<article><p>Own text.</p></article>{extra}</body>", weights) == "Own text."
+
+
 def test_empty_tables(spark, nothing):
     import public_tokenizers
 
