@@ -5,10 +5,9 @@ and matches, summed in turn, give each start in code points.
 
 Markov part: candidates are runs of 20 and more characters of A-Z a-z 0-9 + / _ = - . Two first-order character
 models are compared by the log-likelihood ratio over a candidate's character pairs. The model of random strings is
-trained from the values that the fixed patterns found in all documents, the model of ordinary identifiers from
-words of 8 to 19 such characters in a sample of at most ``SAMPLE_DOCS`` documents (those with the smallest hash
-of doc_id; the only bound, and only of the fit). Both back off to single characters. A candidate is a
-secret if the ratio exceeds the prior odds against it and its span meets no pattern match.
+trained from the values that the fixed patterns found, the model of ordinary identifiers from words of 8 to 19 such
+characters, both in all documents. Both back off to single characters. A candidate is a secret if the ratio
+exceeds the prior odds against it and its span meets no pattern match.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ HEX = r"[0-9a-f]{32,}"  # the whole run, since a match starts where the run does
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,19}(?![A-Za-z0-9+/_=-])"  # too short for a candidate
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-SAMPLE_DOCS = 2000
 ODDS = math.log(10_000)
 BACK_OFF = 16
 
@@ -73,19 +71,17 @@ def _transitions(counts: np.ndarray) -> np.ndarray:
     return (counts + BACK_OFF * single) / (counts.sum(1, keepdims=True) + BACK_OFF)
 
 
-def pair_ratios(docs: DataFrame, base: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def pair_ratios(docs: DataFrame, base: DataFrame) -> list[float]:
     """Log-likelihood ratio (random against ordinary) of each character pair, by first and second character."""
     values = base.select(F.explode("base.value").alias("s"))
-    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    sample = docs.join(F.broadcast(ids), "doc_id").filter("text is not null")
-    # what the patterns call secret is no ordinary word
-    words = (sample.join(base.select("doc_id", "base.value"), "doc_id")
-             .select(F.explode(F.array_except(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), "value")).alias("s")))
+    # what the patterns call secret is no ordinary word; a match of HEX is too long to be one
+    found = [F.regexp_extract_all("text", F.lit(pattern), F.lit(i)) for pattern, i in ((WORD, 0), (ASSIGN, 2), (ACCESS, 0))]
+    words = docs.filter("text is not null").select(F.explode(F.array_except(found[0], F.concat(*found[1:]))).alias("s"))
     ratio = np.log(_transitions(_pair_counts(values))) - np.log(_transitions(_pair_counts(words)))
     return [round(x, 6) for x in ratio.ravel().tolist()]
 
 
-def secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of (start, kind, end, value) in order of start, then kind; ends are exclusive.
 
     kind counts in KINDS. spans are the base spans and the Markov ones that meet no base span. docs: doc_id, text;
@@ -94,7 +90,7 @@ def secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = base_spans(docs)
-    ratios = F.array(*[F.lit(x) for x in pair_ratios(docs, base, sample_docs)])
+    ratios = F.array(*[F.lit(x) for x in pair_ratios(docs, base)])
     n, letters = len(ALPHABET), F.lit(ALPHABET)
 
     def surprise(s: Column) -> Column:
@@ -121,9 +117,9 @@ def counted(found: DataFrame) -> DataFrame:
                         spelled("spans").alias("spans"))
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with all their columns, every span of a secret replaced by the mark (overlapping spans by one)."""
-    spans = secrets(docs, sample_docs).filter(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
+    spans = secrets(docs).filter(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["start"] >= done["at"]

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelwatch.llm import (bestfit_pack, bpe_codec, html_region, jaccard_join, projection_ann, secret_scan, superkmer_dedup,
                             toxic_terms, vector_shards, winnow)
@@ -127,6 +128,19 @@ def test_secrets(spark):
     assert clean[0] is None and key not in clean[3] and clean[3].startswith("[SECRET]' é [SECRET]") and clean[7] == rows[7]
 
 
+def test_ordinary_words_of_all_documents(spark):
+    """Identifiers of a small source whose documents have the largest hashes of doc_id are ordinary words too."""
+    rng = random.Random(4)
+    ids = [r.id for r in spark.range(2600).orderBy(F.xxhash64("id")).collect()]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = ["ordinary sentences with identifiers like average_values"] * 2100
+    rows += [f"secret={''.join(rng.choices(letters, k=40))}" for _ in range(200)]
+    rows += ["Zq7_Xk9_Zq7 9_Xk9_Zq7_X Xk9_Zq7_Xk9_Zq " * 4 + "Zq7_Xk9_Zq7_Xk9_Zq7_Xk9_Zq7"] * 300
+    df = spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string")
+    found = secret_scan.secrets(df).collect()
+    assert {r.doc_id for r in found if r.spans} == set(ids[2100:2300])
+
+
 def test_bpe_is_exact(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
