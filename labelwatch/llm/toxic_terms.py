@@ -1,6 +1,7 @@
 """Toxicity by a learned lexicon, misspellings by Levenshtein automata, and context windows.
 
-Lexicon: words and stems (first letters of longer words) far more frequent in documents labelled toxic.
+Lexicon: words and stems (first letters of longer words) with a far larger share of documents in the toxic class than
+in the clean one, by the log-likelihood ratio of the two shares.
 Its words form a trie. The trie is run together with the Levenshtein automata of distance 1 (a swap of two
 neighbours counts as one edit) of all words: a state is a set of (trie node, edits), made when first met
 and kept, so each distinct word of a text costs one table step per character and most words die early.
@@ -32,6 +33,7 @@ THRESHOLD = 0.7
 STEMS = (4, 5, 6)
 FUZZY_LENGTH = 5  # shorter terms have too many neighbours
 MISSPELT = 0.05
+RATIO = 4  # least ratio of a term's share of toxic documents to its share of clean ones
 AROUND = 3
 QUOTED = '"'
 KNOWN_WORDS = 200_000
@@ -239,6 +241,15 @@ def _hit_counts(model: Model):
     return run
 
 
+def _evidence(n_toxic: int, n_clean: int) -> Column:
+    """Log-likelihood ratio of two shares of documents with a term, toxic and clean, against one share."""
+    def fit_of(seen: Column, n: Column) -> Column:  # 0 log 0 is 0
+        rest = n - seen
+        return F.when(seen > 0, seen * F.log(seen / n)).otherwise(0.0) + F.when(rest > 0, rest * F.log(rest / n)).otherwise(0.0)
+    toxic, clean, n, m = F.col("toxic"), F.col("clean"), F.lit(n_toxic), F.lit(n_clean)
+    return fit_of(toxic, n) + fit_of(clean, m) - fit_of(toxic + clean, n + m)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from at most ``train_rows`` rows of labels (doc_id, toxic 0/1); others have no part in the fit.
 
@@ -258,10 +269,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     n_toxic, n_clean = (total.toxic, total.clean) if total else (0, 0)
     if not n_toxic or not n_clean:
         return Model(-4.0, {}, {}, {}, frozenset(), {})
-    # chance alone should give less than one term: surprise of seeing it in toxic documents only
-    surprise = math.log((n_toxic + n_clean) / n_toxic)
+    # chance alone should give less than one term
     bar = math.log(counted.count()) + 1
-    strong = counted.filter((F.col("term") != "") & ((F.col("toxic") - 4 * F.col("clean")) * surprise >= bar)).collect()
+    strong = counted.filter((F.col("term") != "") & (F.col("toxic") * n_clean >= RATIO * F.col("clean") * n_toxic)
+                            & (_evidence(n_toxic, n_clean) >= bar)).collect()
 
     def weight(toxic: float, clean: float) -> float:
         return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))

@@ -254,6 +254,25 @@ def test_toxicity(spark):
     assert {r.doc_id for r in toxic_terms.kept(docs, model).collect()} == {i for i, s in got.items() if s < 0.7}
 
 
+def test_quoted_terms_enter_the_lexicon(spark):
+    """300 toxic and 2,300 clean rows, a term in 100 and 30 of them, quoted in the clean ones."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(2600):
+        words = [f"v{rng.randint(0, 900)}" for _ in range(30)]
+        if i < 300:
+            words[5:6] = ["you", "grumblefest"] if i < 100 else ["snorkwort"]
+        elif i < 330:
+            words[5:6] = ["someone", "reported", '"grumblefest"', "quoted"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i < 300)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxic_terms.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"grumblefest", "snorkwort"} <= model.words.keys() and not any(w.startswith("v") for w in model.words)
+    got = {r.doc_id: r.score for r in toxic_terms.score(docs, model).collect()}
+    assert all((got[i] >= 0.7) == bool(t) for i, t in labels)
+
+
 def test_levenshtein_automaton():
     terms = ["stone", "river", "storm"]
     automaton = toxic_terms.TermAutomaton(terms)
