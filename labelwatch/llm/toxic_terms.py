@@ -2,8 +2,8 @@
 
 Lexicon: words and stems (first letters of longer words) with a far larger share of documents in the toxic class than
 in the clean one, by the log-likelihood ratio of the two shares.
-Its words form a trie. The trie is run together with the Levenshtein automata of distance 1 (a swap of two
-neighbours counts as one edit) of all words: a state is a set of (trie node, edits), made when first met
+All its words form a trie. The trie is run together with the Levenshtein automata of distance 1 (a swap of two
+neighbours counts as one edit) of all words, and of distance 2 of long ones: a state is a set of (trie node, edits), made when first met
 and kept, so each distinct word of a text costs one table step per character and most words die early.
 
 Weights are smoothed log-odds counted on the labelled rows. A misspelling of a term weighs what such near
@@ -31,7 +31,7 @@ from labelwatch.llm.blocks import U, gram_hashes, mix, slices, span_hash, string
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)
-FUZZY_LENGTH = 5  # shorter terms have too many neighbours
+LONG = 9  # letters of a term that may have two edits
 MISSPELT = 0.05
 RATIO = 4  # least ratio of a term's share of toxic documents to its share of clean ones
 AROUND = 3
@@ -46,11 +46,12 @@ def plain(word: str) -> str:
 
 
 class TermAutomaton:
-    """The trie of terms and the Levenshtein automata of distance 1, intersected and made on demand."""
+    """The trie of terms and the Levenshtein automata of a distance, intersected and made on demand."""
 
     STATES = 200_000
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], distance: int = 1) -> None:
+        self.distance = distance
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         for t in terms:
@@ -72,8 +73,12 @@ class TermAutomaton:
         self._state(self._closed({(0, 0, "")}))
 
     def _closed(self, items: set) -> frozenset:
-        return frozenset(items | {(child, 1, "") for node, edits, owed in items if not edits and not owed
-                                  for child in self.children[node].values()})
+        out, fresh = set(items), items
+        while fresh:
+            fresh = {(child, edits + 1, "") for node, edits, owed in fresh if edits < self.distance and not owed
+                     for child in self.children[node].values()} - out
+            out |= fresh
+        return frozenset(out)
 
     def _state(self, items: frozenset) -> int:
         if not items:
@@ -90,21 +95,22 @@ class TermAutomaton:
         for node, edits, owed in self.sets[state]:
             if owed:
                 if owed == c:
-                    out.add((node, 1, ""))
+                    out.add((node, edits, ""))
                 continue
+            more = edits < self.distance
             for letter, child in self.children[node].items():
                 if letter == c:
                     out.add((child, edits, ""))
-                elif not edits:
-                    out.add((child, 1, ""))
+                elif more:
+                    out.add((child, edits + 1, ""))
                     if c in self.children[child]:
-                        out.add((self.children[child][c], 1, letter))
-            if not edits:
-                out.add((node, 1, ""))
+                        out.add((self.children[child][c], edits + 1, letter))
+            if more:
+                out.add((node, edits + 1, ""))
         return self._state(self._closed(out))
 
     def near(self, word: str) -> str | None:
-        """The smallest term within one edit of the word."""
+        """The smallest term within the distance of the word."""
         if len(self.sets) > self.STATES:
             self._reset()
         state = 0
@@ -118,6 +124,16 @@ class TermAutomaton:
         return self.ends[state]
 
 
+class _Near:
+    """Terms within one edit of a word, or else long terms within two."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.one, self.two = TermAutomaton(terms), TermAutomaton([t for t in terms if len(t) >= LONG], 2)
+
+    def __call__(self, word: str) -> str | None:
+        return self.one.near(word) or (self.two.near(word) if len(word) >= LONG - 2 else None)
+
+
 class Model(NamedTuple):
     bias: float
     words: dict[str, float]
@@ -132,7 +148,7 @@ class _Matcher:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.automaton = TermAutomaton([w for w in model.words if len(w) >= FUZZY_LENGTH])
+        self.near = _Near(list(model.words))
         self.known: dict[bytes, tuple[int, str] | None] = {}
 
     def __call__(self, raw: bytes) -> tuple[int, str] | None:
@@ -145,8 +161,8 @@ class _Matcher:
             for size in STEMS:
                 if len(word) > size and word[:size] in self.model.stems:
                     found = (1, word[:size])
-            if not found and len(word) >= FUZZY_LENGTH - 1 and word not in self.model.common:
-                term = self.automaton.near(word)
+            if not found and word and word not in self.model.common:
+                term = self.near(word)
                 found = (2, term) if term else None
         if len(self.known) >= KNOWN_WORDS:
             self.known.clear()
@@ -280,17 +296,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     words = {r.term: weight(r.toxic, r.clean) for r in strong if not r.term.endswith("*")}
     stems = {r.term[:-1]: weight(r.toxic, r.clean) for r in strong if r.term.endswith("*")}
     uses = {r.term: r.toxic for r in strong}
-    automaton = TermAutomaton([w for w in words if len(w) >= FUZZY_LENGTH])
+    close = _Near(list(words))
     # ordinary words near a term: seen in two clean documents or more
     likely = counted.filter((F.col("clean") >= 2) & ~F.col("term").endswith("*") & (F.length("term").between(
-        FUZZY_LENGTH - 1, 1 + max(map(len, words), default=0)))).select("term")
-    common = frozenset(r.term for r in likely.toLocalIterator() if r.term not in words and automaton.near(r.term))
+        1, 2 + max(map(len, words), default=0)))).select("term")
+    common = frozenset(r.term for r in likely.toLocalIterator() if r.term not in words and close(r.term))
     bias = math.log(n_toxic / n_clean)
     model = Model(bias, words, stems, {}, common, {})
     rows = (train.mapInArrow(_hit_counts(model), "kind string, term string, toxic long, clean long")
             .groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .filter("kind = 'near' or clean >= 2 or term = ''").collect())
-    near = {t: weight(MISSPELT * uses[t], 0) for t in words if len(t) >= FUZZY_LENGTH}
+    near = {t: weight(MISSPELT * uses[t], 0) for t in words}
     near |= {r.term: weight(r.toxic + MISSPELT * uses[r.term], r.clean) for r in rows if r.kind == "near"}
     every = next(((r.toxic, r.clean) for r in rows if r.kind == "context" and not r.term), (0, 0))
     share = (every[0] + 1) / (sum(every) + 2)
@@ -303,12 +319,15 @@ def _batch_scores(part: pa.RecordBatch, model: Model, match: _Matcher) -> tuple[
     logit = np.full(part.num_rows, model.bias - 2.0)
     count = np.zeros(part.num_rows, np.int64)
     for row, hits in _hits(part, match):
-        total, missed = 0.0, 0.0
+        total, missed = 0.0, {}  # a misspelled term counts once, by its strongest use
         for kind, term, words in hits:
             shift = sum(model.context.get(w, 0.0) for w in words)
             worth = max(0.0, (model.words, model.stems, model.near)[kind][term] + shift)
-            total, missed = (total, max(missed, worth)) if kind == 2 else (total + worth, missed)
-        logit[row] = model.bias + total + missed
+            if kind == 2:
+                missed[term] = max(missed.get(term, 0.0), worth)
+            else:
+                total += worth
+        logit[row] = model.bias + total + sum(missed.values())
         count[row] = len(hits)
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), count
 

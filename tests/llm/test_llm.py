@@ -289,6 +289,33 @@ def test_levenshtein_automaton():
     assert automaton.near("sto") is None and automaton.near("rivering") is None and automaton.near("") is None
 
 
+def test_misspelled_terms(spark):
+    """Short terms within one edit, long ones within two; distinct misspelled terms add up."""
+    words = {"scum": 4.0, "grumblefest": 4.0}
+    model = toxic_terms.Model(-2.0, words, {}, {"scum": 1.6, "grumblefest": 1.6}, frozenset({"scam"}), {})
+    texts = ["you scvm", "a sccum", "a scam", "grmblefezt", "scvm grumblefezt", "scvm scvm", "stone river"]
+    got = toxic_terms.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert [r.n_hits for r in sorted(got)] == [1, 1, 0, 1, 2, 2, 0]
+    logits = [round(math.log(r.score / (1 - r.score)), 6) for r in sorted(got)]
+    assert logits == [-0.4, -0.4, -4.0, -0.4, 1.2, -0.4, -4.0]
+
+
+def test_two_edits():
+    terms, rng = ["abcabca", "cabbacb"], random.Random(6)
+    automaton = toxic_terms.TermAutomaton(terms, 2)
+
+    def edits(w):
+        return {w[:i] + w[i + 1:] for i in range(len(w))} | {w[:i] + c + r for i in range(len(w) + 1) for c in "abcx"
+                                                              for r in (w[i:], w[i + 1:])}
+    near = {v for t in terms for u in edits(t) | {t} for v in edits(u) | {u}}
+    assert all(automaton.near(w) for w in near)
+    for _ in range(2000):
+        w = "".join(rng.choices("abcx", k=rng.randint(3, 10)))
+        swapped = {w[:i] + w[i + 1: i + 2] + w[i: i + 1] + w[i + 2:] for i in range(len(w))}
+        assert w in near or not automaton.near(w) or any(v in near for v in swapped) or any(
+            v[:i] + v[i + 1: i + 2] + v[i: i + 1] + v[i + 2:] in terms for v in swapped for i in range(len(v)))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     points = np.round(rng.normal(size=(900, 16)), 3)
