@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwatch.llm import (bestfit_pack, bpe_codec, html_region, jaccard_join, projection_ann, secret_scan, superkmer_dedup,
-                            toxic_terms, vector_shards, winnow)
+from labelwatch.llm import (bestfit_pack, bpe_codec, html_region, jaccard_join, line_index, projection_ann, secret_scan,
+                            spelling_variants, superkmer_dedup, token_align, toxic_terms, vector_shards, winnow)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,18 @@ def op10_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_pack.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_index.hashed(line_index.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.linked_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_html_region, op2_ngram_jaccard, op3_secret_scan, op4_bpe_codec, op5_projection_ann, op6_winnow,
-                                   op7_substring_dedup, op8_vector_shards, op9_toxic_terms, op10_bestfit_pack)}
+                                   op7_substring_dedup, op8_vector_shards, op9_toxic_terms, op10_bestfit_pack, op11_line_dedup, op12_token_align, op13_spelling_variants)}
