@@ -74,8 +74,8 @@ formed as (
   select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 5 * n then near end as form,
     case when near_n >= 5 * n then near_n end as form_n
   from vocabulary v left join best using (word)),
-chain(word, at) as (select word, word from formed union all select c.word, form from chain c join formed f on f.word = c.at where form is not null)
-select formed.word, formed.form, chain.at as root, formed.n, formed.n_near, formed.form_n
-from formed join chain on chain.word = formed.word join formed last on last.word = chain.at and last.form is null"""
+chain(word, top) as (select word, word from formed union all select c.word, form from chain c join formed f on f.word = c.top where form is not null)
+select formed.word, formed.form, chain.top as root, formed.n, formed.n_near, formed.form_n
+from formed join chain on chain.word = formed.word join formed last on last.word = chain.top and last.form is null"""
 
 ORACLES = {"op2_ngram_jaccard": OP2, "op7_substring_dedup": OP7, "op11_line_dedup": OP11, "op13_spelling_variants": OP13}
