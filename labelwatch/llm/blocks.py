@@ -28,7 +28,19 @@ def written(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder; later reads prune columns and push filters."""
     path = f"{scratch_folder(df.sparkSession)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads; the plans behind them are let go, and with them their shuffle files."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()  # the context cleaner removes shuffles whose plans are gone
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:

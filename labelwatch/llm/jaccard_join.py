@@ -14,6 +14,8 @@ both prefixes. So no link is lost.
 Components without all pairs: within a signature each document is verified against the first and the
 previous one (a linear number of pairs), links are contracted, and then every candidate pair whose ends
 are still in different components is verified. Pairs left out lie inside one component.
+Verification: bitmaps of two bits a token give an upper bound of what two sets share (a bit of one that the other
+lacks stands for a token it lacks). Only pairs whose bound reaches the threshold send their whole sets.
 Exact copies are one node. The slot counts, 2**18 numbers at any input size, are all that reaches the driver.
 """
 
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwatch.llm.blocks import U, gram_hashes, mix, slices, span_hash, strings, word_bounds, word_hashes, written
+from labelwatch.llm.blocks import (U, dropped, gram_hashes, mix, slices, span_hash, strings, word_bounds, word_hashes,
+                                   written)
 
 WORDS, PERCENT = 5, 80
 SLOTS = 1 << 18
@@ -54,29 +57,58 @@ def _token_sets(part: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray,
         yield row, found, hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest()
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """One to two bits for each token of a set, addressed by the low bits of its hash."""
+    size = 1 << max(3, len(found).bit_length())
+    flags = np.zeros(size, bool)
+    flags[(found & U(size - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, size), 0)
+
+
+def _can_link(percent: int):
+    """Pairs whose bitmaps leave room for enough common tokens; sizes n_a, n_b and bitmaps x, y."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
+            for i, (x, y, (n_a, n_b)) in enumerate(zip(batch.column("x"), batch.column("y"), sizes)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                x, y = _fold(x, size), _fold(y, size)
+                most = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+                keep[i] = 100 * most >= percent * (n_a + n_b - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    return run
+
+
 def _described(k: int):
-    """Per document its set size and digest; per task the number of tokens in each slot."""
-    names = ["doc_id", "n", "digest", "slot", "c"]
+    """Per document its set size, digest and bitmap; per task the number of tokens in each slot."""
+    names = ["doc_id", "n", "digest", "bits", "slot", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch):
-                sizes, digests = [], []
+                sizes, digests, bits = [], [], []
                 for _, found, digest in _token_sets(part, k):
                     slots += np.bincount((found & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if len(found) > 5000 else 0
                     if len(found) <= 5000:
                         np.add.at(slots, (found & U(SLOTS - 1)).astype(np.int64), 1)
                     sizes.append(len(found))
                     digests.append(digest)
+                    bits.append(bitmap(found))
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
+                     pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
         used = np.flatnonzero(slots)
         n = len(used)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
              pa.array(used.astype(np.int32)), pa.array(slots[used])], names=names)
     return run
 
@@ -176,11 +208,14 @@ def _linked(percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The linked ones of candidate pairs (a, b), as a written table."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The linked ones of candidate pairs (a, b), as a written table. meta: doc_id, n, bits."""
+    side = lambda doc, n, bits: meta.select(F.col("doc_id").alias(doc), F.col("n").alias(n), F.col("bits").alias(bits))
+    near = written(pairs.join(side("a", "n_a", "x"), "a").join(side("b", "n_b", "y"), "b")
+                   .mapInArrow(_can_link(percent), "a long, b long"))
+    needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     sets = written(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, tokens binary"))
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    both = (near.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
             .select("a", "b", "x", "y"))
     # sets of a few hundred KB: small Arrow batches for this job
@@ -188,9 +223,11 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     before = conf.get(name)
     conf.set(name, 500)
     try:
-        return written(both.mapInArrow(_linked(percent), "a long, b long"))
+        links = written(both.mapInArrow(_linked(percent), "a long, b long"))
     finally:
         conf.set(name, before)
+    dropped(near, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,13 +273,13 @@ def near_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = written(docs.mapInArrow(_described(k), "doc_id long, n long, digest binary, slot int, c long"))
-    meta = described.filter("slot is null").select("doc_id", "n", "digest")
+    described = written(docs.mapInArrow(_described(k), "doc_id long, n long, digest binary, bits binary, slot int, c long"))
+    meta = described.filter("slot is null").select("doc_id", "n", "digest", "bits")
     slots = described.filter("slot is not null").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[slots.column("slot").to_numpy()] = slots.column("c").to_numpy()
     first = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    copies = written(meta.join(first.filter("copies > 1"), "digest").filter("doc_id != node").select("doc_id", "node"))
+    copies = written(meta.drop("bits").join(first.filter("copies > 1"), "digest").filter("doc_id != node").select("doc_id", "node"))
 
     postings = docs.mapInArrow(_signed(k, percent, counts), "sig long, doc_id long, n int, alone int, one boolean, deep boolean")
     node = F.coalesce("node", "doc_id")
@@ -261,7 +298,7 @@ def near_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
             "if(y.deep, x.most, x.n), if(x.deep, y.most, y.n))")
     fits = f"100 * {most} >= {percent} * (x.n + y.n - {most})"
     star = written(ends.join(x, F.expr("a = x.doc_id")).join(y, F.expr("b = y.doc_id")).filter(fits.format("")).select("a", "b").distinct())
-    links = verified(docs, star, k, percent)
+    links = verified(docs, meta, star, k, percent)
     roots = components(links)
 
     # candidates whose ends are still apart, all of them
@@ -273,9 +310,11 @@ def near_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
             .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
             .join(star, ["a", "b"], "left_anti"))
     rest = written(rest)
+    dropped(live, bound, star, apart)
     if not rest.isEmpty():
-        links = links.union(verified(docs, rest, k, percent))
+        links = links.union(verified(docs, meta, rest, k, percent))
         roots = components(links)
+    dropped(rest)
     labelled = (meta.join(copies, "doc_id", "left").select("doc_id", "n", node.alias("id"))
                 .join(roots, "id", "left"))
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))

@@ -406,3 +406,23 @@ def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert got.doc_id.nunique() > 150 and (got.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_bitmap_bound_is_never_too_low():
+    rng = np.random.default_rng(6)
+    pa = pytest.importorskip("pyarrow")
+    rows, linked = [], []
+    for _ in range(400):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, len(a) // 5 + 1)):],
+                                      rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 2)), dtype=np.int64).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        linked.append(100 * both >= 80 * (len(a) + len(b) - both))
+        rows.append((len(rows), 0, len(a), len(b), jaccard_join.bitmap(a), jaccard_join.bitmap(b)))
+    for _ in range(100):
+        a, b = (np.unique(rng.integers(0, 1 << 63, 200, dtype=np.int64).astype(np.uint64)) for _ in range(2))
+        rows.append((len(rows), 0, len(a), len(b), jaccard_join.bitmap(a), jaccard_join.bitmap(b)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["a", "b", "n_a", "n_b", "x", "y"])
+    kept = set(next(jaccard_join._can_link(80)(iter([batch]))).column("a").to_pylist())
+    assert {i for i, x in enumerate(linked) if x} <= kept and any(linked) and not kept & set(range(400, 500))
