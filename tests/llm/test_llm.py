@@ -128,6 +128,65 @@ def test_secrets(spark):
     assert clean[0] is None and key not in clean[3] and clean[3].startswith("[SECRET]' é [SECRET]") and clean[7] == rows[7]
 
 
+def test_markov_spans_equal_a_plain_model(spark):
+    """Models counted and candidates scored in Python over the same rows."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [f"secret={''.join(rng.choices(letters, k=30))} and compute_average_value_of_{i % 7}_items_in_words" for i in range(80)]
+    rows += ["sentences of identifiers like average_values numbers_of_items other_words computing " * 20] * 40
+    rows += ["run " + "".join(rng.choices(letters, k=k)) for k in (19, 20, 40, 60, 90)] + ["a" * 30, "key_of_the_ordinary_kind " * 30, None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    alphabet = secret_scan.ALPHABET
+
+    def model(strings):
+        counts = np.zeros((len(alphabet), len(alphabet)))
+        for s in strings:
+            for x, y in zip(s, s[1:]):
+                counts[alphabet.index(x), alphabet.index(y)] += 1
+        return secret_scan._transitions(counts)
+    values, words, found = [], [], {}
+    for i, t in enumerate(rows):
+        t = t or ""
+        base = [(m.start(), m.end(), m[2]) for m in re.finditer(secret_scan.ASSIGN, t) if len(m[2]) >= 8]
+        base += [(m.start(), m.end(), m[0]) for p in (secret_scan.ACCESS, secret_scan.HEX) for m in re.finditer(p, t)]
+        values += [v for _, _, v in base]
+        assigned = {m[2] for m in re.finditer(secret_scan.ASSIGN, t)} | set(re.findall(secret_scan.ACCESS, t))
+        words += set(re.findall(secret_scan.WORD, t)) - assigned
+        found[i] = [m for m in re.finditer(secret_scan.CANDIDATE, t) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+    ratio = np.log(model(values)) - np.log(model(words))
+    want = {i: [(m.start(), m.end()) for m in own if sum(ratio[alphabet.index(x), alphabet.index(y)] for x, y in zip(m[0], m[0][1:]))
+                > secret_scan.ODDS] for i, own in found.items()}
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secret_scan.secrets(df).collect()}
+    assert got == want and sum(map(len, want.values())) >= 3
+
+
+def test_many_hits_of_one_text(spark):
+    """Rows of null or equal doc_id are redacted from their own texts; 6,000 hits in a long text end soon."""
+    import time
+
+    key = "AKIA" + "Q" * 16
+    many = "é\U0001f600 " + f"{key} x " * 5990 + f"password: {key}ab " + "b" * 9000 + f" token=\"{'0af9' * 10}\""
+    rows = [(None, f"a {key}", "u", 1), (1, "plain text", "v", 2), (1, f"{key} b", "w", 3), (2, many, "x", 4), (2, many, "x", 4), (3, None, "y", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans string, row int")
+    start = time.perf_counter()
+    out = secret_scan.redacted(df)
+    assert out.columns == df.columns
+    got = {(r.doc_id, r.row): (r.text, r._spans) for r in out.collect()}
+    assert time.perf_counter() - start < 60
+    marked = re.sub(r"(AKIA[A-Z]+|password: \w+|token=\"\w+)", "[SECRET]", many)
+    assert got[2, 4] == (marked, "x") and len(got) == 5
+    assert got[None, 1][0] == "a [SECRET]" and got[1, 2][0] == "plain text" and got[1, 3] == ("[SECRET] b", "w") and got[3, 5][0] is None
+
+
+def test_repeats_of_null_and_equal_doc_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, words, 1), (5, words, 2), (7, words + " tail", 3), (None, words, 4), (None, other, 5), (None, other, 6), (1, other + " end", 7), (1, "short", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    got = {r.kept: r.text for r in superkmer_dedup.without_repeats(df).collect()}
+    assert got == {1: words, 2: words, 3: "tail", 4: "", 5: "", 6: "", 7: other + " end", 8: "short"}
+
+
 def test_ordinary_words_of_all_documents(spark):
     """Identifiers of a small source whose documents have the largest hashes of doc_id are ordinary words too."""
     rng = random.Random(4)
