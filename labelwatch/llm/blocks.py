@@ -1,7 +1,7 @@
 """Array helpers for Arrow batches of texts, and written intermediate tables.
 
 Words are maximal runs of bytes other than space, tab, newline, vertical tab, form feed and
-carriage return. A batch is worked on in slices of whole texts of a few MB, so a task holds a
+carriage return. A batch is worked on in slices of whole texts of some 700 KB, so a task holds a
 few hundred MB however many rows a batch has; a longer text is a slice of its own.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from labelwatch.session import scratch_folder
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 700_000
 ROOT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -74,6 +74,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

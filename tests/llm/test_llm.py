@@ -165,7 +165,7 @@ def test_many_hits_of_one_text(spark):
     import time
 
     key = "AKIA" + "Q" * 16
-    many = "é\U0001f600 " + f"{key} x " * 5990 + f"password: {key}ab " + "b" * 9000 + f" token=\"{'0af9' * 10}\""
+    many = "é\U0001f600 " + f"{key} x " * 5990 + f"password: {key}ab " + "zz " * 3000 + f" token=\"{'0af9' * 10}\""
     rows = [(None, f"a {key}", "u", 1), (1, "plain text", "v", 2), (1, f"{key} b", "w", 3), (2, many, "x", 4), (2, many, "x", 4), (3, None, "y", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _spans string, row int")
     start = time.perf_counter()
