@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from itertools import product
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,8 @@ from labelwatch.operators import scoring
 from labelwatch.operators.importance import global_importance
 from labelwatch.operators.removal import MAX_REMOVED, TARGET_ACCURACY, removed_marks
 from labelwatch.operators.splitting import background_sample, stratified_folds, stratified_sample
-from labelwatch.session import scratch_folder
+from labelwatch.operators.tree_paths import TreePaths, margin_shapley, node_depths, probability_shapley, tree_paths
+from labelwatch.session import ensure_checkpoint_dir, scratch_folder
 from labelwatch.sources.tables import local_table
 from labelwatch.sources.views import LabelledTable
 
@@ -118,103 +118,10 @@ def node_table(model, spark) -> DataFrame:
         "prediction")
 
 
-@dataclass(frozen=True)
-class LeafBoxes:
-    """Trees as boxes: leaf i holds where low[i] < x <= high[i] and adds value[i] to the score.
-
-    The score is the probability, or with ``boosted`` the margin m of 1 / (1 + exp(-2 m)).
-    """
-
-    low: np.ndarray
-    high: np.ndarray
-    value: np.ndarray
-    depth: np.ndarray
-    n_nodes: int
-    n_trees: int
-    boosted: bool = False
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for lo, hi, value in zip(self.low, self.high, self.value):
-            out += value * ((x > lo) & (x <= hi)).all(axis=1)
-        return out
-
-
-def leaf_boxes(nodes: DataFrame, n_features: int, weights: Sequence[float] | None = None) -> LeafBoxes:
-    """Walk the node table of one model (model-sized) from the roots to the leaves; weights: of boosted trees."""
-    by_key = {(r["tree"], r["id"]): r for r in nodes.collect()}
-    trees = sorted({t for t, _ in by_key})
-    low, high, value, depth = [], [], [], []
-    stack = [(t, 0, np.full(n_features, -np.inf), np.full(n_features, np.inf), 0) for t in trees]
-    while stack:
-        tree, node_id, lo, hi, level = stack.pop()
-        node = by_key[tree, node_id]
-        if node["left"] < 0:
-            low.append(lo), high.append(hi), depth.append(level)
-            value.append(node["prediction"] * weights[tree] if weights else
-                         node["n1"] / (node["n0"] + node["n1"]) / len(trees))
-            continue
-        f, cut = node["feature"], node["cut"]
-        left_hi, right_lo = hi.copy(), lo.copy()
-        left_hi[f], right_lo[f] = min(hi[f], cut), max(lo[f], cut)
-        stack += [(tree, node["left"], lo, left_hi, level + 1), (tree, node["right"], right_lo, hi, level + 1)]
-    return LeafBoxes(np.array(low), np.array(high), np.array(value), np.array(depth), len(by_key), len(trees),
-                     bool(weights))
-
-
-def _leaf_weights(gx: np.ndarray, gb: np.ndarray, fact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of one leaf for each (row, background row): of features only the row satisfies, and only the other."""
-    a, b = (gx @ (1 - gb).T).astype(int), ((1 - gx) @ gb.T).astype(int)
-    live = ((1 - gx) @ (1 - gb).T) == 0
-    both = fact[a + b]
-    return (np.where(live & (a > 0), fact[np.maximum(a - 1, 0)] * fact[b] / both, 0.0),
-            np.where(live & (b > 0), fact[a] * fact[np.maximum(b - 1, 0)] / both, 0.0))
-
-
-def _box_shapley(x: np.ndarray, background: np.ndarray, boxes: LeafBoxes) -> np.ndarray:
-    """Interventional Shapley values of a sum of boxes, averaged over the background.
-
-    For one leaf, only features that exactly one of the row and the background
-    row satisfies matter; their weights are factorials of the two set sizes.
-    """
-    out = np.zeros_like(x)
-    top = x.shape[1] + 1
-    fact = np.array([float(factorial(i)) for i in range(2 * top)])
-    for lo, hi, value in zip(boxes.low, boxes.high, boxes.value):
-        used = np.isfinite(lo) | np.isfinite(hi)
-        if not used.any() or value == 0.0:
-            continue
-        gx = ((x[:, used] > lo[used]) & (x[:, used] <= hi[used])).astype(float)
-        gb = ((background[:, used] > lo[used]) & (background[:, used] <= hi[used])).astype(float)
-        wx, wb = _leaf_weights(gx, gb, fact)
-        out[:, used] += value * (gx * (wx @ (1 - gb)) - (1 - gx) * (wb @ gb))
-    return out / len(background)
-
-
-def _boosted_shapley(x: np.ndarray, background: np.ndarray, boxes: LeafBoxes) -> np.ndarray:
-    """Shapley values of the margin for each background row, rescaled to the change in probability, then averaged."""
-    parts = np.zeros((len(x), len(background), x.shape[1]))
-    fact = np.array([float(factorial(i)) for i in range(2 * x.shape[1] + 2)])
-    for lo, hi, value in zip(boxes.low, boxes.high, boxes.value):
-        used = np.isfinite(lo) | np.isfinite(hi)
-        if not used.any() or value == 0.0:
-            continue
-        gx = ((x[:, used] > lo[used]) & (x[:, used] <= hi[used])).astype(float)
-        gb = ((background[:, used] > lo[used]) & (background[:, used] <= hi[used])).astype(float)
-        wx, wb = _leaf_weights(gx, gb, fact)
-        parts[:, :, used] += value * (gx[:, None] * (1 - gb) * wx[:, :, None] - (1 - gx)[:, None] * gb * wb[:, :, None])
-    margins = boxes.score(x)[:, None], boxes.score(background)[None]
-    p, q = (1 / (1 + np.exp(-2 * m)) for m in margins)
-    gap = margins[0] - margins[1]
-    close = np.abs(gap) < 1e-9  # the slope in place of the quotient
-    ratio = np.where(close, 2 * p * (1 - p), (p - q) / np.where(close, 1.0, gap))
-    return (parts * ratio[:, :, None]).mean(axis=1)
-
-
-def attribution_members(explain: LabelledTable, background: LabelledTable, members: Mapping[str, LeafBoxes]) -> DataFrame:
+def attribution_members(explain: LabelledTable, background: LabelledTable, members: Mapping[str, TreePaths]) -> DataFrame:
     """(member, id, feature, value, attribution) of each member and of their vote, all in probability space.
 
-    Rows are dealt by id; every task receives the leaf boxes and the fixed-size
+    Rows are dealt by id; every task receives the paths and the fixed-size
     background once and works on Arrow batches.  The vote, ``ensemble``, is the mean
     of the members' parts, as its probability is the mean of theirs.
     """
@@ -225,12 +132,12 @@ def attribution_members(explain: LabelledTable, background: LabelledTable, membe
     shared = spark.sparkContext.broadcast((bg, dict(members)))
 
     def batches(parts):
-        rows, boxes = shared.value
+        rows, paths = shared.value
         for whole in parts:
             for at in range(0, len(whole), EXPLAINED_AT_ONCE):
                 pdf = whole.iloc[at: at + EXPLAINED_AT_ONCE]
                 x = pdf[names].to_numpy(dtype=float)
-                phi = {n: (_boosted_shapley if b.boosted else _box_shapley)(x, rows, b) for n, b in boxes.items()}
+                phi = {n: (margin_shapley if p.boosted else probability_shapley)(x, rows, p) for n, p in paths.items()}
                 phi["ensemble"] = sum(phi.values()) / len(phi)
                 for member, own in phi.items():
                     yield pd.DataFrame({
@@ -243,15 +150,15 @@ def attribution_members(explain: LabelledTable, background: LabelledTable, membe
     return dealt.mapInPandas(batches, "member string, id string, feature string, value double, attribution double")
 
 
-def attribution_tree(explain: LabelledTable, background: LabelledTable, boxes: LeafBoxes) -> DataFrame:
+def attribution_tree(explain: LabelledTable, background: LabelledTable, paths: TreePaths) -> DataFrame:
     """(id, feature, value, attribution) of one model."""
-    return attribution_members(explain, background, {"model": boxes}).filter("member = 'model'").drop("member")
+    return attribution_members(explain, background, {"model": paths}).filter("member = 'model'").drop("member")
 
 
 @dataclass(frozen=True)
 class ExplainedForest:
     model: object
-    boxes: LeafBoxes
+    paths: TreePaths
     sample: LabelledTable
     background: LabelledTable
     attributions: DataFrame
@@ -269,11 +176,11 @@ def explain_members(table: LabelledTable, seed: int = 42, n_explain: int = N_EXP
                     names: Sequence[str] = MODELS) -> ExplainedMembers:
     """Fit the members on train, explain each and their vote on a stratified sample of test."""
     models = fit_base_models(table, seed, names=names)
-    boxes = {n: leaf_boxes(node_table(m, table.frame.sparkSession), len(table.features),
-                           None if n == "forest" else list(m.treeWeights)) for n, m in models.items()}
+    paths = {n: tree_paths(node_table(m, table.frame.sparkSession), None if n == "forest" else list(m.treeWeights))
+             for n, m in models.items()}
     sample = stratified_sample(table.where(F.col("split") == "test"), n_explain, seed)
     background = background_sample(table, seed=seed)
-    return ExplainedMembers(models, sample, background, attribution_members(sample, background, boxes))
+    return ExplainedMembers(models, sample, background, attribution_members(sample, background, paths))
 
 
 def member_additivity(table: LabelledTable, seed: int = 42) -> DataFrame:
@@ -292,13 +199,14 @@ def member_additivity(table: LabelledTable, seed: int = 42) -> DataFrame:
         F.lit(table.name).alias("dataset"), "member", "n_rows", "additive")
 
 
-def explain_forest(table: LabelledTable, seed: int = 42, n_explain: int = N_EXPLAIN) -> ExplainedForest:
+def explain_forest(table: LabelledTable, seed: int = 42, n_explain: int = N_EXPLAIN,
+                   params: Mapping[str, Mapping] | None = None) -> ExplainedForest:
     """Fit a forest on train, explain a stratified sample of test against a train background."""
-    model = fit_base_models(table, seed, names=("forest",))["forest"]
-    boxes = leaf_boxes(node_table(model, table.frame.sparkSession), len(table.features))
+    model = fit_base_models(table, seed, params, names=("forest",))["forest"]
+    paths = tree_paths(node_table(model, table.frame.sparkSession))
     sample = stratified_sample(table.where(F.col("split") == "test"), n_explain, seed)
     background = background_sample(table, seed=seed)
-    return ExplainedForest(model, boxes, sample, background, attribution_tree(sample, background, boxes))
+    return ExplainedForest(model, paths, sample, background, attribution_tree(sample, background, paths))
 
 
 def tree_additivity(table: LabelledTable, seed: int = 42) -> DataFrame:
@@ -316,11 +224,15 @@ def tree_additivity(table: LabelledTable, seed: int = 42) -> DataFrame:
 def tree_complexity(table: LabelledTable, seed: int = 42) -> DataFrame:
     """Mean tree depth, total nodes and tree count of the fitted forest."""
     model = fit_base_models(table, seed, names=("forest",))["forest"]
-    depths = model.trees
-    rows = [{"dataset": table.name, "n_trees": model.getNumTrees, "total_nodes": model.totalNumNodes,
-             "mean_tree_depth": float(np.mean([t.depth for t in depths]))}]
-    return local_table(table.frame.sparkSession, rows,
-                       "dataset string, n_trees int, total_nodes int, mean_tree_depth double")
+    return complexity_of(node_table(model, table.frame.sparkSession)).select(F.lit(table.name).alias("dataset"), "*")
+
+
+def complexity_of(nodes: DataFrame) -> DataFrame:
+    """n_trees, total_nodes, mean_tree_depth of a node table."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    trees = node_depths(nodes).groupBy("tree").agg(F.max("depth").alias("depth"), F.count("*").alias("n"))
+    return trees.agg(F.count("*").cast("int").alias("n_trees"), F.sum("n").cast("int").alias("total_nodes"),
+                     F.avg("depth").alias("mean_tree_depth"))
 
 
 def test_accuracy(table: LabelledTable, model) -> float:
@@ -353,7 +265,7 @@ def progressive_removal(table: LabelledTable, target: float = TARGET_ACCURACY, m
         profile = global_importance(e.attributions, [])
         top = profile.orderBy(F.desc("mean_abs"), "feature").first()["feature"]
         rows.append({"dataset": table.name, "iteration": len(rows), "n_features": len(left), "top_feature": top,
-                     "accuracy": accuracy, "total_nodes": e.boxes.n_nodes, "mean_leaf_depth": float(e.boxes.depth.mean())})
+                     "accuracy": accuracy, "total_nodes": e.paths.n_nodes, "mean_leaf_depth": float(e.paths.depth.mean())})
         if accuracy < target:
             break
         left.remove(top)
@@ -389,7 +301,7 @@ def half_attributions(table: LabelledTable, seed: int = 42, n_explain: int = N_E
         rows = table.frame.filter(F.col("half") == half)
         own = replace(table, frame=rows.withColumn("split", F.lit("train")))
         model = fit_base_models(own, seed, names=("forest",))["forest"]
-        boxes = leaf_boxes(node_table(model, rows.sparkSession), len(table.features))
-        part = attribution_tree(stratified_sample(own, n_explain, seed), background_sample(own, seed=seed), boxes)
+        paths = tree_paths(node_table(model, rows.sparkSession))
+        part = attribution_tree(stratified_sample(own, n_explain, seed), background_sample(own, seed=seed), paths)
         parts.append(part.select(F.lit(table.name).alias("dataset"), F.lit(seed).alias("seed"), F.lit(half).alias("half"), "*"))
     return parts[0].unionByName(parts[1])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelwatch.operators import models
+from labelwatch.operators import models, tree_paths
 from labelwatch.operators.splitting import stratified_sample, stratified_split
 from labelwatch.sources.views import LabelledTable
 
@@ -37,35 +37,94 @@ def brute(x, background, score):
     return out / len(background)
 
 
-def random_boxes(rng, boosted):
-    cuts = np.sort(rng.random((12, 3, 2)), axis=2)
-    low, high = cuts[:, :, 0], cuts[:, :, 1]
-    free = rng.random((12, 3)) < 0.4
-    low[free], high[free] = -np.inf, np.inf
-    return models.LeafBoxes(low, high, rng.normal(size=12), np.zeros(12), 12, 1, boosted)
+def random_paths(rng, boosted, n_leaves=12, n_features=3):
+    """Leaves with one to all of the features on their path; the last one has none."""
+    entries, first = [], [0]
+    for _ in range(n_leaves - 1):
+        for f in sorted(rng.choice(n_features, rng.integers(1, n_features + 1), replace=False)):
+            low, high = np.sort(rng.random(2))
+            entries.append((f, -np.inf if rng.random() < 0.3 else low, high))
+        first.append(len(entries))
+    f, low, high = map(np.array, zip(*entries))
+    return tree_paths.TreePaths(f, low, high, np.array([*first, first[-1]]), rng.normal(size=n_leaves), np.zeros(n_leaves), 12, 1, boosted)
+
+
+def plain_score(paths, x):
+    out = []
+    for row in x:
+        leaves = [slice(a, b) for a, b in zip(paths.first, paths.first[1:])]
+        out.append(sum(v for v, s in zip(paths.value, leaves) if all(
+            lo < row[f] <= hi for f, lo, hi in zip(paths.feature[s], paths.low[s], paths.high[s]))))
+    return np.array(out)
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_margin_parts_match_the_definition(seed):
     rng = np.random.default_rng(seed)
-    boxes, x, background = random_boxes(rng, True), rng.random((5, 3)), rng.random((4, 3))
+    paths, x, background = random_paths(rng, True), rng.random((5, 3)), rng.random((4, 3))
     p = lambda m: 1 / (1 + np.exp(-2 * m))
-    got = models._boosted_shapley(x, background, boxes)
+    assert np.allclose(paths.score(x), plain_score(paths, x), atol=1e-12)
+    got = tree_paths.margin_shapley(x, background, paths)
     for row, own in zip(x, got):
         want = np.zeros(3)
         for other in background:
-            m, n = boxes.score(row[None])[0], boxes.score(other[None])[0]
+            m, n = paths.score(row[None])[0], paths.score(other[None])[0]
             ratio = (p(m) - p(n)) / (m - n) if m != n else 2 * p(m) * (1 - p(m))
-            want += brute(row, other[None], boxes.score) * ratio
+            want += brute(row, other[None], paths.score) * ratio
         assert np.allclose(own, want / len(background), atol=1e-12)
-    assert np.allclose(got.sum(1), p(boxes.score(x)) - p(boxes.score(background)).mean(), atol=1e-9)
+    assert np.allclose(got.sum(1), p(paths.score(x)) - p(paths.score(background)).mean(), atol=1e-9)
 
 
-def test_probability_parts_match_the_definition():
+@pytest.mark.parametrize("cells", [1, 10**6])
+def test_probability_parts_match_the_definition(monkeypatch, cells):
+    """One leaf at a time and many give the same."""
+    monkeypatch.setattr(tree_paths, "CELLS", cells)
     rng = np.random.default_rng(9)
-    boxes, x, background = random_boxes(rng, False), rng.random((3, 3)), rng.random((4, 3))
-    for row, own in zip(x, models._box_shapley(x, background, boxes)):
-        assert np.allclose(own, brute(row, background, boxes.score), atol=1e-12)
+    paths, x, background = random_paths(rng, False, 20, 4), np.round(rng.random((6, 4)), 1), np.round(rng.random((5, 4)), 1)
+    for row, own in zip(x, tree_paths.probability_shapley(x, background, paths)):
+        assert np.allclose(own, brute(row, background, paths.score), atol=1e-12)
+
+
+def hand_made_nodes(spark):
+    """Tree 0: a chain of three cuts, twice on feature 0; tree 1: a single leaf."""
+    rows = [(0, 0, 1, 2, 0, 5.0, 6.0, 4.0), (0, 1, 3, 4, 1, 1.0, 3.0, 4.0), (0, 2, -1, -1, -1, None, 3.0, 0.0),
+            (0, 3, -1, -1, -1, None, 2.0, 0.0), (0, 4, 5, 6, 0, 2.0, 1.0, 4.0), (0, 5, -1, -1, -1, None, 1.0, 0.0),
+            (0, 6, -1, -1, -1, None, 0.0, 4.0), (1, 0, -1, -1, -1, None, 5.0, 5.0)]
+    return spark.createDataFrame([(*r, float(r[7] > r[6])) for r in rows],
+                                 "tree int, id int, left int, right int, feature int, cut double, n0 double, n1 double, prediction double")
+
+
+def test_paths_and_depths_of_a_hand_made_forest(spark):
+    nodes = hand_made_nodes(spark)
+    paths = tree_paths.tree_paths(nodes)
+    leaves = {tuple((int(paths.feature[e]), paths.low[e], paths.high[e]) for e in range(a, b)): (v, d)
+              for a, b, v, d in zip(paths.first, paths.first[1:], paths.value, paths.depth)}
+    inf = np.inf
+    assert leaves == {((0, 5.0, inf),): (0.0, 1), ((0, -inf, 5.0), (1, -inf, 1.0)): (0.0, 2), ((0, -inf, 2.0), (1, 1.0, inf)): (0.0, 3),
+                      ((0, 2.0, 5.0), (1, 1.0, inf)): (0.5, 3), (): (0.25, 0)}
+    assert (paths.n_nodes, paths.n_trees) == (8, 2)
+    models.ensure_checkpoint_dir(spark)
+    got = {(r.tree, r.id): r.depth for r in tree_paths.node_depths(nodes).collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (0, 2): 1, (0, 3): 2, (0, 4): 2, (0, 5): 3, (0, 6): 3, (1, 0): 0}
+    assert models.complexity_of(nodes).first() == (2, 8, 1.5)
+
+
+def test_depths_of_a_long_chain(spark):
+    models.ensure_checkpoint_dir(spark)
+    rows = [(0, 2 * i, 2 * i + 1, 2 * i + 2) for i in range(20)] + [(0, 2 * i + 1, -1, -1) for i in range(20)] + [(0, 40, -1, -1)]
+    got = {r.id: r.depth for r in tree_paths.node_depths(spark.createDataFrame(rows, "tree int, id int, left int, right int")).collect()}
+    assert got == {i: (i + 1) // 2 for i in range(41)}
+
+
+def test_deep_forest_is_additive(spark, table):
+    """A forest of deep trees: attributions add up to its own scores within 1e-9."""
+    e = models.explain_forest(table, params={"forest": dict(numTrees=20, maxDepth=10)})
+    assert e.paths.n_nodes > 400 and e.paths.depth.max() > 5
+    base = models.score_models(e.background, {"forest": e.model}).agg(F.avg("p_forest")).first()[0]
+    sums = e.attributions.groupBy("id").agg(F.sum("attribution").alias("total"))
+    scores = models.score_models(e.sample, {"forest": e.model}).select(F.col("id").cast("string").alias("id"), "p_forest")
+    worst = sums.join(scores, "id").agg(F.max(F.abs(F.col("total") - F.col("p_forest") + base))).first()[0]
+    assert worst < 1e-9
 
 
 def test_members_and_vote_are_additive_in_many_tasks(spark, table):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelwatch.operators import labels, leakage, removal, stumps, timing
-from labelwatch.operators.models import LeafBoxes, _box_shapley
+from labelwatch.operators.tree_paths import TreePaths, probability_shapley
 from labelwatch.operators.reporting import sig_figs
 from labelwatch.sources.views import LabelledTable
 
@@ -77,12 +77,11 @@ def test_significant_figures(spark):
     assert got == pytest.approx([123457.0, 0.000123457, 0.0, -98.7654], rel=1e-12)
 
 
-def brute_shapley(x, background, boxes):
+def brute_shapley(x, background, low, high, value):
     n = len(x)
 
     def f(point):
-        inside = (point > boxes.low) & (point <= boxes.high)
-        return float(boxes.value[inside.all(axis=1)].sum())
+        return float(value[((point > low) & (point <= high)).all(axis=1)].sum())
 
     phi = np.zeros(n)
     for b in background:
@@ -103,8 +102,9 @@ def test_leaf_formula_is_the_shapley_value():
     rng = np.random.default_rng(3)
     low = np.where(rng.random((6, 4)) < 0.5, -np.inf, rng.random((6, 4)) - 0.5)
     high = np.where(rng.random((6, 4)) < 0.5, np.inf, rng.random((6, 4)) + 0.3)
-    boxes = LeafBoxes(low, high, rng.random(6), np.ones(6), 6, 1)
+    value = rng.random(6)
+    paths = TreePaths(np.tile(np.arange(4), 6), low.ravel(), high.ravel(), np.arange(0, 25, 4), value, np.ones(6), 6, 1)
     x, bg = rng.random((3, 4)), rng.random((5, 4))
-    got = _box_shapley(x, bg, boxes)
+    got = probability_shapley(x, bg, paths)
     for i in range(3):
-        assert got[i] == pytest.approx(brute_shapley(x[i], bg, boxes), abs=1e-12)
+        assert got[i] == pytest.approx(brute_shapley(x[i], bg, low, high, value), abs=1e-12)
