@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from labelwatch.functions.numeric import r6
 from labelwatch.operators import agreement as ag
 from labelwatch.operators import importance as im
-from labelwatch.operators import models
+from labelwatch.operators import models, rounds
 from labelwatch.operators.splitting import stratified_halves, stratified_split
 from labelwatch.plans.screening import screen_benchmark
 from labelwatch.session import settle
@@ -30,17 +30,36 @@ def half_agreement(s, p):
     return ag.kendall_pvalue(pairs, keys).join(ag.top1_agreement(pairs, keys), keys)
 
 
+# A small space of each learner: see the README for what the defaults cost.
+SMALL_SPACES = {"forest": {"numTrees": (5, 10), "maxDepth": (3, 5), "minInstancesPerNode": (1, 5)},
+                "boosted_deep": {"maxIter": (3, 5), "maxDepth": (3, 5), "subsamplingRate": (0.8, 1.0)},
+                "boosted_wide": {"maxIter": (5, 8), "maxDepth": (1, 2), "stepSize": (0.05, 0.1)}}
+
+
+def searched(s, p):
+    return rounds.random_search(split_planted(s, p), 2, 2, spaces=SMALL_SPACES)
+
+
+def screen_verdicts(s, p):
+    """Verdicts of a table with planted leaks and of one whose label is random; SQL states what they must be."""
+    rows = screen_benchmark(v.planted(s, p)).unionByName(screen_benchmark(v.order_status(s, p)))
+    return rows.select("dataset", "n_rows", "verdict", (F.col("n_removed") > 0).alias("any_removed"))
+
+
 QUERIES = {
     "fit_base_models": base_models,
     "performance_grid": lambda s, p: models.performance_grid([split_planted(s, p)]),
-    "random_search": lambda s, p: models.random_search(split_planted(s, p)),
+    "random_search": searched,
+    "search_plan": lambda s, p: searched(s, p).groupBy("dataset", "learner").agg(
+        F.count("*").alias("n_trials"), F.countDistinct("cell").alias("n_cells"), F.every(F.expr("mean_f1 between 0 and 1")).alias("scored")),
     "tree_complexity": lambda s, p: models.tree_complexity(split_planted(s, p)),
     "attribution_tree": lambda s, p: models.explain_forest(split_planted(s, p)).attributions,
     "attribution_members": lambda s, p: models.explain_members(split_planted(s, p)).attributions,
     "attribution_members_additivity": lambda s, p: models.member_additivity(split_planted(s, p)),
     "attribution_tree_additivity": lambda s, p: models.tree_additivity(split_planted(s, p)),
-    "progressive_removal": lambda s, p: models.progressive_removal(split_planted(s, p)),
+    "progressive_removal": lambda s, p: rounds.progressive_removal(split_planted(s, p)),
     "screen_benchmark": lambda s, p: screen_benchmark(v.planted(s, p)),
+    "screen_verdicts": screen_verdicts,
     "sufficiency": lambda s, p: models.sufficiency(split_planted(s, p)).select("dataset", "k", "full_accuracy", "sufficiency_accuracy", "performance_retained"),
     "comprehensiveness": lambda s, p: models.sufficiency(split_planted(s, p)).select("dataset", "k", "full_accuracy", "comprehensiveness_accuracy", "performance_lost"),
     "half_agreement_forest": half_agreement,

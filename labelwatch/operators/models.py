@@ -4,30 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import d, r6
 from labelwatch.operators import scoring
 from labelwatch.operators.importance import global_importance
-from labelwatch.operators.removal import MAX_REMOVED, TARGET_ACCURACY, removed_marks
-from labelwatch.operators.splitting import background_sample, stratified_folds, stratified_sample
+from labelwatch.operators.splitting import background_sample, stratified_sample
 from labelwatch.operators.tree_paths import TreePaths, margin_shapley, node_depths, probability_shapley, tree_paths
 from labelwatch.session import ensure_checkpoint_dir, scratch_folder
 from labelwatch.sources.tables import local_table
 from labelwatch.sources.views import LabelledTable
 
 MODELS = ("forest", "boosted_deep", "boosted_wide")
-SEARCH_SPACE = {"numTrees": (5, 10, 20), "maxDepth": (3, 5, 8), "minInstancesPerNode": (1, 5)}
 N_EXPLAIN = 2000
 EXPLAINED_AT_ONCE = 128  # rows of one array of (row, background row, feature) parts
 
@@ -88,24 +83,6 @@ def performance_grid(tables: Sequence[LabelledTable], seed: int = 42) -> DataFra
     return scoring.score_predictions(pred, ["config", "model", "seed"])
 
 
-def random_search(table: LabelledTable, n_iter: int = 4, folds: int = 3, seed: int = 42) -> DataFrame:
-    """Sampled forest parameters, no cell twice, scored by stratified cross-validation on F1 of the positive class."""
-    cells = [dict(zip(SEARCH_SPACE, cell)) for cell in product(*SEARCH_SPACE.values())]
-    drawn = np.random.default_rng(seed).choice(len(cells), min(n_iter, len(cells)), replace=False)
-    draws = [cells[i] for i in drawn]
-    estimator = learner("forest", seed)
-    maps = [{estimator.getParam(k): v for k, v in one.items()} for one in draws]
-    metric = MulticlassClassificationEvaluator(labelCol="label", predictionCol="_y_forest",
-                                               metricName="fMeasureByLabel", metricLabel=1.0)
-    dealt = stratified_folds(table.where(F.col("split") == "train"), folds, seed)
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=metric,
-                            numFolds=folds, foldCol="fold", parallelism=2, seed=seed)
-    fitted = search.fit(assemble(dealt))
-    rows = [{"trial": i, **one, "mean_f1": float(m)} for i, (one, m) in enumerate(zip(draws, fitted.avgMetrics))]
-    return local_table(table.frame.sparkSession, rows,
-                       "trial int, numTrees int, maxDepth int, minInstancesPerNode int, mean_f1 double")
-
-
 def node_table(model, spark) -> DataFrame:
     """The nodes of fitted trees as MLlib stores them: (tree, id, left, right, feature, cut, n0, n1, prediction)."""
     path = f"{scratch_folder(spark)}/trees"
@@ -170,17 +147,22 @@ class ExplainedMembers:
     sample: LabelledTable
     background: LabelledTable
     attributions: DataFrame
+    paths: Mapping[str, TreePaths]
 
 
 def explain_members(table: LabelledTable, seed: int = 42, n_explain: int = N_EXPLAIN,
                     names: Sequence[str] = MODELS) -> ExplainedMembers:
     """Fit the members on train, explain each and their vote on a stratified sample of test."""
-    models = fit_base_models(table, seed, names=names)
+    return explain_fitted(table, fit_base_models(table, seed, names=names), seed, n_explain)
+
+
+def explain_fitted(table: LabelledTable, models: Mapping, seed: int = 42, n_explain: int = N_EXPLAIN) -> ExplainedMembers:
+    """Explain fitted members and their vote on a stratified sample of test, against a background of train."""
     paths = {n: tree_paths(node_table(m, table.frame.sparkSession), None if n == "forest" else list(m.treeWeights))
              for n, m in models.items()}
     sample = stratified_sample(table.where(F.col("split") == "test"), n_explain, seed)
     background = background_sample(table, seed=seed)
-    return ExplainedMembers(models, sample, background, attribution_members(sample, background, paths))
+    return ExplainedMembers(models, sample, background, attribution_members(sample, background, paths), paths)
 
 
 def member_additivity(table: LabelledTable, seed: int = 42) -> DataFrame:
@@ -241,39 +223,14 @@ def test_accuracy(table: LabelledTable, model) -> float:
     return float(scored.agg(F.avg(hit).alias("a")).first()["a"])
 
 
-def settled(table: LabelledTable) -> LabelledTable:
-    """The split written once in the shared folder; each fit reads only the features it uses."""
-    rows = table.frame.select(table.id_col, table.label_col, "split", *table.features)
+def settled(table: LabelledTable, *more: str) -> LabelledTable:
+    """The split written once in the shared folder; each fit reads only the features it uses. more: further columns."""
+    rows = table.frame.select(table.id_col, table.label_col, "split", *table.features, *more)
     path = f"{scratch_folder(rows.sparkSession)}/split"
     rows.write.parquet(path)
     return replace(table, frame=rows.sparkSession.read.schema(rows.schema).parquet(path))
 
 
-def progressive_removal(table: LabelledTable, target: float = TARGET_ACCURACY, max_removed: int = MAX_REMOVED,
-                        seed: int = 42, n_explain: int = N_EXPLAIN) -> DataFrame:
-    """Fit, score, rank by attribution, drop the top feature; until accuracy falls below target.
-
-    The driver holds one number and one name per round; the curve is a table of
-    at most max_removed + 1 rows.
-    """
-    table = settled(table)
-    left, rows = list(table.features), []
-    while len(left) >= 2 and len(rows) <= max_removed:
-        now = table.only(left)
-        e = explain_forest(now, seed, n_explain)
-        accuracy = round(test_accuracy(now, e.model), 6)
-        profile = global_importance(e.attributions, [])
-        top = profile.orderBy(F.desc("mean_abs"), "feature").first()["feature"]
-        rows.append({"dataset": table.name, "iteration": len(rows), "n_features": len(left), "top_feature": top,
-                     "accuracy": accuracy, "total_nodes": e.paths.n_nodes, "mean_leaf_depth": float(e.paths.depth.mean())})
-        if accuracy < target:
-            break
-        left.remove(top)
-    curve = local_table(table.frame.sparkSession, rows, "dataset string, iteration int, n_features int, top_feature string, "
-                                                        "accuracy double, total_nodes int, mean_leaf_depth double")
-    return removed_marks(curve, target, max_removed)
-
-
 def sufficiency(table: LabelledTable, ks: Sequence[int] = (3, 5), seed: int = 42) -> DataFrame:
     """Retrain on the top-k features alone and on all the others; compare with the full model."""
     table = settled(table)

@@ -41,6 +41,7 @@ class TreePaths:
     n_nodes: int
     n_trees: int
     boosted: bool = False
+    mean_tree_depth: float = 0.0
 
     def blocks(self, n_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Features, lows, highs (leaf by entry) and values of leaves of one path length, a bounded number at a time."""
@@ -91,7 +92,8 @@ def tree_paths(nodes: DataFrame, weights: Sequence[float] | None = None) -> Tree
     edges = np.append(0, np.cumsum(own))[np.append(first, len(table))]
     return TreePaths(table["feature"].to_numpy()[own].astype(np.int64), table["low"].to_numpy()[own], table["high"].to_numpy()[own],
                      edges, table["value"].to_numpy()[first] * scale, table["depth"].to_numpy()[first],
-                     int(per_tree["n_nodes"].sum()), len(per_tree), bool(weights))
+                     int(per_tree["n_nodes"].sum()), len(per_tree), bool(weights),
+                     float(table.groupby("tree")["depth"].max().mean()))
 
 
 def _bits(x: np.ndarray, feature: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -12,6 +12,11 @@ def _additive(select):
 
 
 ORACLES = {
+    "search_plan": "select 'planted' as dataset, l as learner, 2::bigint as n_trials, 2::bigint as n_cells, true as scored from "
+                   "(values ('boosted_deep'), ('boosted_wide'), ('forest')) x(l)",
+    # planted leaks can be removed, a random label cannot be learned
+    "screen_verdicts": "select dataset, (select count(*) from orders) as n_rows, verdict, verdict = 'repairable' as any_removed "
+                       "from (values ('planted', 'repairable'), ('order_status', 'clean')) x(dataset, verdict)",
     "attribution_tree_additivity": _additive("select 'planted' as dataset, {rows}"),
     "attribution_members_additivity": _additive(
         "select 'planted' as dataset, member, {rows} from (values ('forest'), ('boosted_deep'), ('boosted_wide'), ('ensemble')) m(member)"),

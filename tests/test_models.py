@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelwatch.operators import models, tree_paths
+from labelwatch.operators import models, rounds, tree_paths
 from labelwatch.operators.splitting import stratified_sample, stratified_split
 from labelwatch.sources.views import LabelledTable
 
@@ -136,14 +136,58 @@ def test_members_and_vote_are_additive_in_many_tasks(spark, table):
     assert found.select(F.spark_partition_id()).distinct().count() > 1
 
 
-def test_removal_drops_the_leading_feature(table):
-    curve = models.progressive_removal(table, target=0.5).orderBy("iteration").collect()
-    assert curve[0]["top_feature"] == "a" and curve[1]["n_features"] == 2
+SPACES = {"forest": {"numTrees": (2, 3), "maxDepth": (2, 3), "minInstancesPerNode": (1, 4)}, "boosted_wide": {"maxIter": (1, 2), "maxDepth": (1, 2)}}
 
 
-def test_search_draws_no_cell_twice(table):
-    rows = models.random_search(table, n_iter=3, folds=2).drop("trial", "mean_f1").collect()
-    assert len(set(rows)) == 3
+def test_removal_drops_the_leading_feature_of_the_vote(table):
+    curve = rounds.progressive_removal(table, target=0.5).orderBy("iteration").collect()
+    assert curve[0]["top_feature"] == "a" and curve[1]["n_features"] == 2
+    assert [r["hyperparameter_regime"] for r in curve] == ["static"] * len(curve)
+    assert all(0 <= r["f1"] <= 1 and -1 <= r["mcc"] <= 1 and r["fit_seconds"] > 0 and r["attribution_seconds"] > 0 for r in curve)
+    assert curve[0]["mean_tree_depth"] >= curve[0]["mean_leaf_depth"] > 0
+
+
+def test_a_killed_removal_goes_on(table, tmp_path, monkeypatch):
+    """Stopped in its second round, the run keeps the first one and ends with the rows of a run in one go."""
+    whole = rounds.progressive_removal(table, target=0.5, names=("forest",)).orderBy("iteration").collect()
+    assert len(whole) == 2
+    fits, fit = [], models.fit_base_models
+
+    def dying(t, *more):
+        fits.append(len(t.features))
+        if len(fits) == 2:
+            raise KeyboardInterrupt
+        return fit(t, *more)
+    monkeypatch.setattr(models, "fit_base_models", dying)
+    store = str(tmp_path / "rounds")
+    with pytest.raises(KeyboardInterrupt):
+        rounds.progressive_removal(table, target=0.5, names=("forest",), store=store)
+    again = rounds.progressive_removal(table, target=0.5, names=("forest",), store=store).orderBy("iteration").collect()
+    assert fits == [3, 2, 2]
+    seconds = ("fit_seconds", "attribution_seconds")
+    plain = lambda rows: [{k: x for k, x in r.asDict().items() if k not in seconds} for r in rows]
+    assert plain(again) == plain(whole)
+    assert plain(rounds.progressive_removal(table, target=0.5, names=("forest",), store=store).orderBy("iteration").collect()) == plain(whole)
+    assert fits == [3, 2, 2]
+
+
+def test_search_draws_no_cell_twice_and_resumes(table, tmp_path, monkeypatch):
+    store = str(tmp_path / "trials")
+    first = rounds.random_search(table, 2, 2, spaces=SPACES, store=store).collect()
+    assert {(r.learner, r.trial) for r in first} == {(x, i) for x in SPACES for i in range(2)}
+    every = rounds.random_search(table, 3, 2, spaces=SPACES, store=store).collect()
+    assert all(r in every for r in first) and len(every) == 6
+    assert all(len({r.cell for r in every if r.learner == x}) == 3 for x in SPACES)
+    best = rounds.best_params(rounds.random_search(table, 3, 2, spaces=SPACES, store=store), SPACES)
+    assert set(best) == set(SPACES) and all(best[x][k] in vals for x, space in SPACES.items() for k, vals in space.items())
+    fitted = models.fit_base_models(table, params=best, names=("forest",))["forest"]
+    assert fitted.getNumTrees == best["forest"]["numTrees"]
+
+
+def test_cells_are_numbered_in_mixed_radix():
+    space = {"a": (1, 2, 3), "b": ("x", "y"), "c": (0.1, 0.2)}
+    cells = [tuple(rounds.cell_params(space, i).values()) for i in range(12)]
+    assert sorted(cells) == sorted(itertools.product(*space.values()))
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 50, 5000])
