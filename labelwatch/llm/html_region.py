@@ -4,7 +4,8 @@ A page is a sequence of text runs and tags. Each word scores by the log-odds of
 link, inside an element that is furniture by tag, class or id), each tag scores below zero by how often it stands
 outside content. The weights are counted on labelled pages: those with exactly one article element say which tokens
 are content. A linear scan then finds the contiguous region with the best sum. Furniture is left out and scores 0 in the
-scan, words and tags, so it neither joins nor splits a region.
+scan, words and tags, so it neither joins nor splits a region. Inside the article element with most plain words
+nothing costs, so lists of links there do not cut it. All steps are linear in the page.
 Only the fit is bounded: at most ``TRAIN_PAGES`` pages, those with the smallest hash of page_id.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -25,14 +27,14 @@ TRAIN_PAGES = 2000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg|iframe|select)\b.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[^<]+|<",
-    re.S | re.I)
+    r"|<(?:[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))|[^<]+|<", re.S | re.I)
+_END = re.compile("[\"'>]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer "
                    "form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td "
                    "tfoot th thead tr ul".split())
 _FURNITURE = frozenset("nav aside footer form menu dialog button label".split())
-_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|"
+_HINT = re.compile(r"(?:^|[\s_-])(?!related[_-]works?\b|tag[_-]lines?\b|side[_-]effects?\b|share[_-]prices?\b)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|"
                    r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|"
                    r"comments?|disqus|repl(?:y|ies)|respond|login|signup|skip|pagination|pager|widget|toolbar|tags?)(?:$|[\s_-])", re.I)
 # of a site, not of an article
@@ -40,6 +42,14 @@ _HEADER = re.compile(r"(?:^|[\s_-])(?<!entry.)(?<!post.)(?<!article.)(?:header|m
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACES = re.compile(r"\s+")
+_ZEROS = re.compile(r"&#0+(?=\d)")
+_NO_CHARACTER = re.compile(r"&#\d{8,};?")  # above all code points
+# least score of a word of the page's article: less than any plain word, more than nothing
+ARTICLE_WORD = 0.05
+_ZEROS = re.compile(r"&#0+(?=\d)")
+_NO_CHARACTER = re.compile(r"&#\d{8,};?")  # above all code points
+# least score of a word of the page's article: less than any plain word, more than nothing
+ARTICLE_WORD = 0.05
 
 
 class Run(NamedTuple):
@@ -51,6 +61,45 @@ class Run(NamedTuple):
     link: bool
     furniture: bool
     content: bool  # inside an article element
+    article: int = 0  # number of the outermost article element around it, 0 outside
+
+
+class _TagEnds:
+    """Where tags of a page end: the first > outside quotes or, if a quote stays open, the first > at all.
+
+    All calls together take linear time if the tag at each place is skipped before the next call.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.places: list[int] = []
+        self.ends: list[int] | None = None
+
+    def after(self, at: int) -> int:
+        """Place of the > of the tag whose name ends at ``at``, or -1."""
+        if at > self.last:
+            return -1
+        first = self.page.find(">", at)
+        if not self.page.count("'", at, first) and not self.page.count('"', at, first) % 2:
+            return first
+        if self.ends is None:
+            self._scan()
+        end = self.ends[bisect_left(self.places, at)]
+        return first if end < 0 else end
+
+    def _scan(self) -> None:
+        """From the back, the end reached outside quotes from each quote and each >."""
+        self.places = [m.start() for m in _END.finditer(self.page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        behind = {"'": -1, '"': -1}  # index of the next quote of each kind
+        for i in range(len(self.places) - 1, -1, -1):
+            mark = self.page[self.places[i]]
+            if mark == ">":
+                self.ends[i] = self.places[i]
+            else:
+                self.ends[i] = self.ends[behind[mark] + 1] if behind[mark] >= 0 else -1
+                behind[mark] = i
 
 
 class _Mark(NamedTuple):
@@ -83,33 +132,50 @@ def runs(page: str) -> list[Run]:
     marks: list[_Mark] = []
     ends: dict[int, dict[str, int]] = {}
     open_: list[tuple[str, int, int]] = []  # name, mark around it, own mark or -1
-    mark, links = -1, 0
+    names: Counter[str] = Counter()  # of open elements
+    blocks = [""]  # open block elements
+    mark, links, articles = -1, 0, 0
     depth, words = {"article": 0, "main": 0}, {"": 0, "article": 0, "main": 0}
+    tag_ends = _TagEnds(page)
 
     def close() -> tuple[str, int]:
         nonlocal mark, links
         n, mark, own = open_.pop()
+        names[n] -= 1
         links -= n == "a"
+        if n in _BLOCK:
+            blocks.pop()
         if n in depth:
             depth[n] -= 1
         if own >= 0:
             ends[own] = dict(words)
         return n, own
 
-    for m in _TOKEN.finditer(page):
-        closing, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+    def add(run: Run, around: int) -> None:
+        found.append((run._replace(article=articles) if depth["article"] else run, around))
+
+    at = 0
+    while m := _TOKEN.match(page, at):
+        start, at = at, m.end()
+        closing, name = m[2], m[3]
         content = any(depth.values())
+        attributes = ""
+        if name or m[0] in ("<!", "<?"):
+            end = tag_ends.after(at)
+            if end >= 0:
+                attributes, at = page[at:end], end + 1
+            else:  # no tag without its end: the sign and what follows are text
+                name, at = None, start + 1
         if not name:
-            if m[0][0] != "<" or m[0] == "<":
-                block = next((n for n, _, _ in reversed(open_) if n in _BLOCK), "")
-                found.append((Run("", m[0], block, links > 0, False, content), mark))
-                n_words = len(m[0].split())
+            if m[0][0] != "<" or at == start + 1:
+                add(Run("", page[start:at], blocks[-1], links > 0, False, content), mark)
+                n_words = len(page[start:at].split())
                 for kind in words:
                     words[kind] += n_words if not kind or depth[kind] else 0
             continue
         name, own = name.lower(), -1
         if closing:
-            if any(n == name for n, _, _ in open_):
+            if names[name] > 0:
                 n = ""
                 while n != name:
                     n, own = close()
@@ -120,15 +186,19 @@ def runs(page: str) -> list[Run]:
             if name in depth:
                 if name == "main" or not depth["article"]:
                     mark = -1
+                articles += name == "article" and not depth["article"]
                 depth[name] += 1
             elif name in _FURNITURE or name == "header" and not content or name not in ("html", "body") and attributes and _hinted(
                     attributes, content):
                 marks.append(_Mark(mark, name == "form" or name not in _FURNITURE, dict(depth), dict(words)))
                 mark = own = len(marks) - 1
             open_.append((name, outer, own))
+            names[name] += 1
+            if name in _BLOCK:
+                blocks.append(name)
             links += name == "a"
         # the tag that closes furniture is part of it
-        found.append((Run(("/" if closing else "") + name, "", "", False, False, any(depth.values())), own if own >= 0 else mark))
+        add(Run(("/" if closing else "") + name, "", "", False, False, any(depth.values())), own if own >= 0 else mark)
     kind = "article" if words["article"] else "main"
     furniture = []
     for i, k in enumerate(marks):
@@ -153,6 +223,14 @@ class Weights(NamedTuple):
             return 0.0
         return words * max(-4.0, min(1.0, self.prior + sum(self.parts.get(p, 0.0) for p in _parts(run))))
 
+    def within(self, run: Run) -> float:
+        """Score of a run of the page's article."""
+        return 0.0 if run.tag or run.furniture else max(self.of(run), ARTICLE_WORD * len(run.text.split()))
+
+    def within(self, run: Run) -> float:
+        """Score of a run of the page's article."""
+        return 0.0 if run.tag or run.furniture else max(self.of(run), ARTICLE_WORD * len(run.text.split()))
+
 
 def _parts(run: Run) -> tuple[str, str, str]:
     return f"block {run.block}", f"link {run.link}", f"furniture {run.furniture}"
@@ -202,15 +280,38 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Weights:
     return Weights(math.log(n_in / n_out), parts, tags)
 
 
+def _decoded(text: str) -> str:
+    """Text with its character references decoded, those of thousands of digits too."""
+    if "&#" in text:
+        text = _NO_CHARACTER.sub("\ufffd", _ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
+def _decoded(text: str) -> str:
+    """Text with its character references decoded, those of thousands of digits too."""
+    if "&#" in text:
+        text = _NO_CHARACTER.sub("\ufffd", _ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
 def main_text(page: str | None, weights: Weights) -> str:
-    """Text of the best region: blocks in page order, one line each."""
+    """Text of the best region: blocks in page order, one line each.
+
+    In the page's article, that with most words outside links, tags cost nothing and words at least score
+    ``ARTICLE_WORD``, so that its lists of links and tables neither split it nor fall off its ends.
+    """
     found = runs(page or "")
+    sizes: Counter[int] = Counter()
+    for r in found:
+        if r.article and not r.tag and not r.link and not r.furniture:
+            sizes[r.article] += len(r.text.split())
+    article = min(sizes, key=lambda k: (-sizes[k], k), default=-1)
     best, begin, end = 0.0, 0, 0
     total, start = 0.0, 0
     for i, r in enumerate(found):
         if total <= 0:
             total, start = 0.0, i
-        total += weights.of(r)
+        total += weights.within(r) if r.article == article else weights.of(r)
         if total > best:
             best, begin, end = total, start, i + 1
     blocks: list[list[str]] = [[]]
@@ -220,7 +321,7 @@ def main_text(page: str | None, weights: Weights) -> str:
                 blocks.append([])
         elif not r.furniture:
             blocks[-1].append(r.text)
-    lines = (_SPACES.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
+    lines = (_SPACES.sub(" ", _decoded("".join(b))).strip() for b in blocks)
     return "\n".join(x for x in lines if x)
 
 
