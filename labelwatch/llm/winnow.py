@@ -23,7 +23,8 @@ PRIME = (1 << 31) - 1
 BASE = 1_000_003
 LOW = (1 << 32) - 1
 BUCKET_ROWS = 2_000
-BROADCAST_ROWS = 100_000
+CUTS = 500
+SMALLEST = -(1 << 63)
 
 
 def _shifted(name: str, by: int, step) -> Column:
@@ -71,29 +72,56 @@ def _likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def _bucketed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df with _order, _cut and _bucket, and the smallest _order of each bucket.
+
+    Quantiles of doc_id cut the rows into at most ``CUTS`` ranges, each range into buckets of equal width for some
+    ``BUCKET_ROWS`` rows each, so a doc_id far from all others widens the buckets of its own range only. The
+    steps are in doubles and keep the order; rows of one doc_id share a bucket. A null doc_id is the smallest.
+    """
+    df = df.withColumn("_order", F.coalesce("doc_id", F.lit(SMALLEST).cast("long")))
+    n = df.count()
+    cuts = min(CUTS, n // BUCKET_ROWS)
+    points = [i / cuts for i in range(1, cuts)]
+    bounds = df.agg(F.percentile_approx("_order", points, 10 * cuts)).first()[0] if points else []
+    at = F.array(*[F.lit(x).cast("long") for x in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
+    df = df.withColumn("_cut", F.size(F.filter(at, lambda x: x <= F.col("_order"))))
+    ranges = df.groupBy("_cut").agg(F.min("_order").alias("_low"), F.max("_order").alias("_high"), F.count("*").alias("_n")).collect()
+    # a low end and a width for each range, as arrays of at most CUTS numbers
+    low, width = [0.0] * (len(set(bounds)) + 1), [1.0] * (len(set(bounds)) + 1)
+    for r in ranges:
+        low[r._cut] = float(r._low)
+        width[r._cut] = max(1.0, (r._high - r._low) / max(1, r._n // BUCKET_ROWS))
+
+    def of(values: list[float]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("_cut") + 1)
+
+    df = df.withColumn("_bucket", F.floor((F.col("_order").cast("double") - of(low)) / of(width)))
+    return df, df.groupBy("_cut", "_bucket").agg(F.min("_order").alias("_order"))
+
+
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with next_<column> of the row with the next larger doc_id; the last row gets the first one's.
 
     Rows are bucketed by doc_id, so no task sorts all of them; the first row of each bucket is also sent to the
-    bucket before. Rows with one doc_id follow each other in order of their first column.
+    bucket before. Rows with one doc_id follow each other in order of their first column, null doc_ids come first.
     """
-    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n:
-        return df.withColumns({f"next_{c}": F.col(c) for c in columns})
-    buckets = max(1, n // BUCKET_ROWS)
-    width = (high - low) // buckets + 1
-    df = df.withColumn("_bucket", F.expr(f"(doc_id - {low}L) div {width}L"))
-    firsts = df.groupBy("_bucket").agg(F.min("doc_id").alias("doc_id"))
-    order = Window.orderBy("_bucket")  # one row a bucket
-    start = F.first("_bucket").over(Window.orderBy(F.col("_bucket").desc()))
-    firsts = firsts.select("doc_id", F.coalesce(F.lag("_bucket").over(order), start).alias("_to"))
-    heads = df.join(F.broadcast(firsts) if buckets <= BROADCAST_ROWS else firsts, "doc_id")
-    heads = heads.withColumn("_bucket", F.col("_to")).drop("_to").withColumn("_head", F.lit(True))
+    names = df.columns
+    df, firsts = _bucketed(df)
+    # the bucket before: in the same range, else the last one of the range before, else the last of all
+    ends = firsts.groupBy("_cut").agg(F.max("_bucket").alias("_last"))  # at most CUTS rows
+    order, back = Window.orderBy("_cut"), Window.orderBy(F.col("_cut").desc())
+    before = F.struct("_cut", F.col("_last").alias("_bucket"))
+    ends = ends.select("_cut", F.coalesce(F.lag(before).over(order), F.first(before).over(back)).alias("_before"))
+    own = F.lag(F.struct("_cut", "_bucket")).over(Window.partitionBy("_cut").orderBy("_bucket"))
+    firsts = firsts.withColumn("_own", own).join(F.broadcast(ends), "_cut").select("_order", F.coalesce("_own", "_before").alias("_to"))
+    heads = df.join(firsts, "_order")
+    heads = heads.withColumns({"_cut": F.col("_to._cut"), "_bucket": F.col("_to._bucket"), "_head": F.lit(True)})
     every = df.withColumn("_head", F.lit(False)).unionByName(heads.select(*df.columns, "_head"))
     # the head sent here sorts behind the bucket's own rows; in the last bucket it is the table's first row
-    own = Window.partitionBy("_bucket").orderBy("_head", "doc_id", columns[0])
+    own = Window.partitionBy("_cut", "_bucket").orderBy("_head", "_order", columns[0])
     return (every.withColumns({f"next_{c}": F.lead(c).over(own) for c in columns})
-            .filter(~F.col("_head")).drop("_head", "_bucket"))
+            .filter(~F.col("_head")).select(*names, *[f"next_{c}" for c in columns]))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -107,7 +135,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many first ones of the next
     document (all, if it is shorter). docs: doc_id, text; other columns are not read. A single document is its
-    own next. Copies with one doc_id follow each other. An empty table gives an empty result.
+    own next. Copies with one doc_id follow each other, rows without one come first. An empty table gives an empty result.
     """
     df = with_next(fingerprints(docs), ["text", "chosen"])
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
