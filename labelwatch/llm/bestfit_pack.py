@@ -138,32 +138,34 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces with sequence_id and offset. pieces: doc_id, piece, length (1 to size) and any other columns.
 
     Sequences hold at most ``size`` tokens and are gapless from offset 0. Equal lengths go by bucket, doc_id,
-    piece; equal rows may swap places. An empty table gives an empty result.
+    piece; equal rows may swap places. Columns sequence_id and offset of the pieces are replaced, all others stay,
+    whatever their names. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces)
+    # the caller's row travels as one value, so no name of a step can meet one of its own
+    given = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    pieces = written(pieces.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row")))
     rows = pieces.count()
     buckets = max(1, rows // BUCKET_ROWS)
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    sizes = written(pieces.groupBy("length", "_bucket").agg(F.count("*").alias("c")))
+    pieces = pieces.select("row", F.col("row.length").alias("length"),
+                           F.pmod(F.xxhash64("row.doc_id", "row.piece"), F.lit(buckets)).alias("bucket"))
+    sizes = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("c")))
     counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("c")).collect()}
     if not rows:
-        return pieces.drop("_bucket").withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-    if min(counts) < 1 or max(counts) > size:
+        return pieces.select("row.*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    if None in counts or min(counts) < 1 or max(counts) > size:
         raise ValueError(f"lengths must be from 1 to {size}")
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "_bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
-    ranked = (pieces.withColumn("_nth", F.row_number().over(own) - 1).join(offsets, ["length", "_bucket"])
-              .withColumn("_rank", F.col("_nth") + F.col("_before")))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("length", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy("length", "bucket").orderBy("row.doc_id", "row.piece")
+    ranked = (pieces.withColumn("nth", F.row_number().over(own) - 1).join(offsets, ["length", "bucket"])
+              .select("row", "length", (F.col("nth") + F.col("before")).alias("rank")))
     # ranges of one length as one sorted array: a piece finds its range by counting the first ranks up to its own
     slots = spark.createDataFrame(plan_slots(counts, size), "length long, rank long, n long, sequence long, offset long")
-    slots = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank", "sequence", "offset"))).alias("_slots"))
-    placed = ranked.join(F.broadcast(slots), "length")
-    hit = F.expr("element_at(filter(_slots, s -> s.rank <= _rank), -1)")
-    return (placed.withColumn("_slot", hit).withColumn("sequence_id", F.expr("_slot.sequence + _rank - _slot.rank"))
-            .withColumn("offset", F.col("_slot.offset"))
-            .drop("_bucket", "_nth", "_before", "_rank", "_slots", "_slot"))
+    slots = slots.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank", "sequence", "offset"))).alias("slots"))
+    hit = F.expr("element_at(filter(slots, s -> s.rank <= rank), -1)")
+    placed = ranked.join(F.broadcast(slots), "length").withColumn("slot", hit)
+    return placed.select("row.*", F.expr("slot.sequence + rank - slot.rank").alias("sequence_id"), F.col("slot.offset").alias("offset"))
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
