@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelwatch.functions.draws import uniform
 from labelwatch.functions.numeric import count_if, d, r6, ratio, steady
-from labelwatch.operators.ordering import auto_cuts, cumulate, hash_rank, spearman
+from labelwatch.operators.ordering import cumulate, hash_rank, spearman
 from labelwatch.sources.views import LabelledTable
 
 BACKGROUND_SHARE = 0.1
@@ -116,7 +116,7 @@ def quantile_of(frame: DataFrame, keys: Sequence[str], value: str, q: float) ->
     from labelwatch.operators.leakage import quantile_columns
 
     counts = frame.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    run = cumulate(counts, keys, value, ["n"], auto_cuts(counts, keys, value))
+    run = cumulate(counts, keys, value, ["n"])
     return run.groupBy(*keys).agg(*quantile_columns(value, "n", {"quantile": q}))
 
 

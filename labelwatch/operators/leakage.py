@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import count_if, d, r6, ratio
-from labelwatch.operators.ordering import auto_cuts, cumulate
+from labelwatch.operators.ordering import cumulate
 from labelwatch.sources.views import LabelledTable, pooled_long
 
 # Fixed values of the audit protocol.
@@ -67,7 +67,7 @@ def class_distribution(table: LabelledTable) -> DataFrame:
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std_value"))
     counts = per_class(class_value_counts(table))
     keys = ["feature", "label"]
-    run = cumulate(counts, keys, "value", ["n"], auto_cuts(counts, keys, "value"))
+    run = cumulate(counts, keys, "value", ["n"])
     shape = run.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_distinct"),
         F.max(F.struct(F.col("n"), (-F.col("value")).alias("neg"))).alias("top"),
@@ -106,7 +106,7 @@ def class_top_values_text(table: LabelledTable, k: int = TOP_VALUES) -> DataFram
 
 
 def _run(counts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
-    return cumulate(counts, keys, "value", ["n0", "n1"], auto_cuts(counts, keys, "value"))
+    return cumulate(counts, keys, "value", ["n0", "n1"])
 
 
 def threshold_columns(keys: Sequence[str], run: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def class_histogram(table: LabelledTable, bins: int = HISTOGRAM_BINS,
     """
     counts = class_value_counts(table).withColumn("n", F.col("n0") + F.col("n1"))
     if clip:
-        run = cumulate(counts, ["feature"], "value", ["n"], auto_cuts(counts, ["feature"], "value"))
+        run = cumulate(counts, ["feature"], "value", ["n"])
         span = run.groupBy("feature").agg(*quantile_columns("value", "n", {"lo": clip[0], "hi": clip[1]}))
     else:
         span = counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -218,7 +218,7 @@ def class_histogram(table: LabelledTable, bins: int = HISTOGRAM_BINS,
 def mutual_information(table: LabelledTable, bins: int = MI_BINS) -> DataFrame:
     """Plug-in MI(feature; label) in nats: exact values if few, else quantile bins."""
     counts = class_value_counts(table).withColumn("n", F.col("n0") + F.col("n1")).withColumn("one", F.lit(1))
-    run = cumulate(counts, ["feature"], "value", ["n", "one"], auto_cuts(counts, ["feature"], "value"))
+    run = cumulate(counts, ["feature"], "value", ["n", "one"])
     slot = F.when(F.col("all_one") <= bins, F.col("cum_one")).otherwise(
         F.floor(d(F.col("cum_n") - F.col("n")) * bins / d("all_n")))
     binned = run.withColumn("bin", slot.cast("bigint")).groupBy("feature", "bin").agg(

@@ -1,8 +1,9 @@
 """Global order without a global sort in one task.
 
 Three building blocks carry every ranked or cumulative computation of the
-package.  Each one splits the order into buckets, totals the buckets (a table
-whose size does not grow with the data) and finishes inside the buckets:
+package.  Each one splits the order into as many parts as the session has
+shuffle partitions (or a multiple of it), totals the parts and finishes
+inside them, in one way at any size:
 
 * ``hash_rank``   position of each row in digest order, per group
 * ``cumulate``    running sums over the distinct values of each key
@@ -17,13 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwatch.functions.draws import digest
-from labelwatch.session import plan_bytes
+from labelwatch.session import shuffle_width, stored
 
-# Below this plan size the distinct values of one key fit a single sorted window.
-ONE_WINDOW_BYTES = 64 << 20
-MAX_BUCKETS = 1024
-# Hex digits of the digest used as bucket: 16**3 buckets of equal expected size.
-BUCKET_DIGITS = 3
+# Digest buckets for each shuffle partition of the session: tasks take several, so they finish together.
+BUCKETS_PER_PARTITION = 4
 
 
 def hash_rank(df: DataFrame, group: Sequence[str], id_col: str, *tag: Column | str | int,
@@ -31,10 +29,13 @@ def hash_rank(df: DataFrame, group: Sequence[str], id_col: str, *tag: Column | s
     """Add the 1-based position of every row in digest order within its group.
 
     Digest prefixes are uniform whatever the data, so buckets never skew, and a
-    group that holds a third of all rows is still spread over 16**3 buckets.
+    group that holds a third of all rows is still spread over all of them. Their
+    number follows the session's shuffle partitions; the ranks do not depend on it.
     """
+    buckets = BUCKETS_PER_PARTITION * shuffle_width(df.sparkSession)
+    prefix = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint")
     keyed = (df.withColumn("_key", digest(*tag, F.col(id_col)))
-               .withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)))
+               .withColumn("_bucket", F.shiftright(prefix * F.lit(buckets), 32)))
     keys = [*group, "_bucket"]
     sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket")
@@ -54,67 +55,45 @@ def hash_rank(df: DataFrame, group: Sequence[str], id_col: str, *tag: Column | s
     return out.drop("_key", "_bucket", "_pos", "_before", "_all", *[f"_of_{k}" for k in keys])
 
 
-def range_cuts(frame: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFrame:
-    """Approximate quantile boundaries per key, fixed as literals.
-
-    One aggregation with map-side sketches; what returns to the driver is
-    keys x buckets numbers.  Literal boundaries make every later branch of the
-    plan agree on the buckets, even when an executor is lost and recomputes.
-    """
-    points = [i / buckets for i in range(1, buckets)]
-    found = frame.groupBy(*keys).agg(
-        F.percentile_approx(value, points, 10 * buckets).alias("bounds"))
-    schema = found.schema
-    return F.broadcast(frame.sparkSession.createDataFrame(found.collect(), schema))
-
-
-def auto_cuts(frame: DataFrame, keys: Sequence[str], value: str) -> DataFrame | None:
-    """No cuts for small plans, quantile cuts once a key could outgrow one task."""
-    size = plan_bytes(frame)
-    if size <= ONE_WINDOW_BYTES:
-        return None
-    return range_cuts(frame, keys, value, min(MAX_BUCKETS, 2 + size // ONE_WINDOW_BYTES))
-
-
 def cumulate(counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
-             cuts: DataFrame | None = None) -> DataFrame:
+             parts: int | None = None) -> DataFrame:
     """Running sums of pre-aggregated measures over increasing ``value``.
 
     ``counts`` holds one row per (keys, value).  Adds ``cum_<measure>`` (rows at
-    or below the value), ``all_<measure>`` and ``next_value``.
+    or below the value), ``all_<measure>`` and ``next_value``.  NULL keys are keys.
+
+    A prefix scan in two levels: a range shuffle on keys and value deals the rows
+    into ``parts`` contiguous parts (the session's shuffle partitions), stored once
+    so that a part keeps its rows in every later branch and after a lost executor.
+    Totals per part and key, no more rows than parts and keys together, become base
+    rows; inside a part each base row stands before its key's own rows, so no join
+    is needed and no task holds more than a part.
     """
-    keys = list(keys)
-    if cuts is None:
-        run, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
-        return counts.select(
-            "*",
-            *[F.sum(m).over(run).alias(f"cum_{m}") for m in measures],
-            *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures],
-            F.lead(value).over(run).alias("next_value"))
-
-    placed = counts.join(cuts, keys).withColumn(
-        "_bucket", F.size(F.filter("bounds", lambda b: b < F.col(value)))).drop("bounds")
-    totals = placed.groupBy(*keys, "_bucket").agg(
+    keys, spark = list(keys), counts.sparkSession
+    dealt = counts.repartitionByRange(parts or shuffle_width(spark), *keys, value)
+    placed = stored(dealt.withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "_part").agg(
         F.min(value).alias("_first"), *[F.sum(m).alias(f"_sum_{m}") for m in measures])
-    run, whole = Window.partitionBy(*keys).orderBy("_bucket"), Window.partitionBy(*keys)
-    offsets = totals.select(
-        *keys, "_bucket", F.lead("_first").over(run).alias("_following"),
-        *[(F.sum(f"_sum_{m}").over(run) - F.col(f"_sum_{m}")).alias(f"_base_{m}") for m in measures],
+    by_part, whole = Window.partitionBy(*keys).orderBy("_part"), Window.partitionBy(*keys)
+    bases = totals.select(
+        *keys, "_part", F.lit(False).alias("_own"), F.lead("_first").over(by_part).alias("_following"),
+        *[(F.sum(f"_sum_{m}").over(by_part) - F.col(f"_sum_{m}")).alias(f"_add_{m}") for m in measures],
         *[F.sum(f"_sum_{m}").over(whole).alias(f"all_{m}") for m in measures])
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    # keys x MAX_BUCKETS rows at most
-    joined = placed.join(F.broadcast(offsets), [*keys, "_bucket"])
-    return joined.select(
-        *counts.columns,
-        *[(F.col(f"_base_{m}") + F.sum(m).over(inside)).alias(f"cum_{m}") for m in measures],
-        *[F.col(f"all_{m}") for m in measures],
-        F.coalesce(F.lead(value).over(inside), F.col("_following")).alias("next_value"))
+    own = placed.select("*", F.lit(True).alias("_own"), *[F.col(m).alias(f"_add_{m}") for m in measures])
+    order = Window.partitionBy(*keys, "_part").orderBy("_own", value)
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return own.unionByName(bases, allowMissingColumns=True).select(
+        *counts.columns, "_own",
+        *[F.sum(f"_add_{m}").over(run).alias(f"cum_{m}") for m in measures],
+        *[F.first(f"all_{m}").over(run).alias(f"all_{m}") for m in measures],
+        F.coalesce(F.lead(value).over(order), F.first("_following").over(run)).alias("next_value"),
+    ).filter("_own").drop("_own")
 
 
 def mean_ranks(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n",
-               cuts: DataFrame | None = None) -> DataFrame:
+               parts: int | None = None) -> DataFrame:
     """Tie-averaged rank of every distinct value: (rows below) + (own rows + 1) / 2."""
-    run = cumulate(counts, keys, value, [n], cuts)
+    run = cumulate(counts, keys, value, [n], parts)
     return run.withColumn(
         "mean_rank", (F.col(f"cum_{n}") - F.col(n)).cast("double")
         + (F.col(n).cast("double") + 1.0) / 2.0).drop(f"cum_{n}", f"all_{n}", "next_value")
@@ -129,11 +108,11 @@ def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str, n: str | Non
     """
     keys = list(keys)
     weight = F.sum(n) if n else F.count(F.lit(1))
-    joint = pairs.groupBy(*keys, x, y).agg(weight.cast("bigint").alias("_n"))
+    joint = stored(pairs.groupBy(*keys, x, y).agg(weight.cast("bigint").alias("_n")))  # read three times
 
     def ranks(v: str, name: str) -> DataFrame:
         counts = joint.groupBy(*keys, v).agg(F.sum("_n").alias("n"))
-        return mean_ranks(counts, keys, v, cuts=auto_cuts(counts, keys, v)).select(
+        return mean_ranks(counts, keys, v).select(
             *keys, v, F.col("mean_rank").alias(name))
 
     ranked = joint.join(ranks(x, "_rx"), [*keys, x]).join(ranks(y, "_ry"), [*keys, y])

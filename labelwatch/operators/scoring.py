@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import count_if, d, r6, ratio, steady
-from labelwatch.operators.ordering import auto_cuts, cumulate
+from labelwatch.operators.ordering import cumulate
 from labelwatch.sources.views import LabelledTable
 
 METRICS = ("accuracy", "precision", "recall", "f1", "mcc", "roc_auc")
@@ -75,7 +75,7 @@ def roc_auc(pred: DataFrame, keys: Sequence[str], score: str = "score") -> DataF
     """
     counts = pred.groupBy(*keys, score).agg(
         count_if(F.col("label") == 0).alias("n0"), count_if(F.col("label") == 1).alias("n1"))
-    run = cumulate(counts, list(keys), score, ["n0", "n1"], auto_cuts(counts, keys, score))
+    run = cumulate(counts, list(keys), score, ["n0", "n1"])
     won = d("n1") * (d(F.col("cum_n0") - F.col("n0")) + d("n0") / 2.0)
     return run.groupBy(*keys).agg(
         F.sum(won).alias("_won"), F.max("all_n0").alias("_n0"), F.max("all_n1").alias("_n1")).select(

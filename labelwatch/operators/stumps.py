@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import count_if, d, r6, ratio
 from labelwatch.operators.leakage import mutual_information
-from labelwatch.operators.ordering import auto_cuts, cumulate
+from labelwatch.operators.ordering import cumulate
 from labelwatch.sources.tables import local_table
 from labelwatch.sources.views import LabelledTable, pooled_long
 
@@ -76,7 +76,7 @@ def grow(counts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """
     spark = counts.sparkSession
     fit = counts.filter("n0 + n1 > 0").select(*KEYS, "value", "n0", "n1")
-    run = cumulate(fit, KEYS, "value", ["n0", "n1"], auto_cuts(fit, KEYS, "value")).persist(
+    run = cumulate(fit, KEYS, "value", ["n0", "n1"]).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
         roots = run.groupBy(*KEYS).agg(F.max("all_n0").alias("n0"), F.max("all_n1").alias("n1")).collect()

@@ -27,14 +27,9 @@ def audit_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes of all scans below a plan, after pruning; no job is run.
-
-    The optimiser's own estimate multiplies the sides of every join, which says
-    little about how many distinct values a key of a fact table can have.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+def shuffle_width(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -47,6 +42,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A result as a Parquet table in the shared folder: computed once, later reads prune columns and push filters."""
+    path = f"{scratch_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; fall back to a scratch one only locally."""
     sc = spark.sparkContext

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelwatch.operators.ordering import cumulate, hash_rank, mean_ranks, range_cuts, spearman
+from labelwatch.operators.ordering import cumulate, hash_rank, mean_ranks, spearman
 
 
 def hot_values(n=600, seed=1):
@@ -13,18 +13,37 @@ def hot_values(n=600, seed=1):
     return [0.0 if rng.random() < 0.35 else round(rng.gauss(0, 10), 1) for _ in range(n)]
 
 
-@pytest.mark.parametrize("buckets", [0, 7])
-def test_cumulate_is_the_running_count(spark, buckets):
-    values = hot_values()
-    df = spark.createDataFrame([("f", v) for v in values], "k string, v double")
-    counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = range_cuts(counts, ["k"], "v", buckets) if buckets else None
-    got = cumulate(counts, ["k"], "v", ["n"], cuts).orderBy("v").collect()
-    distinct = sorted(set(values))
-    assert [r["v"] for r in got] == distinct
-    assert [r["cum_n"] for r in got] == [sum(x <= v for x in values) for v in distinct]
-    assert [r["next_value"] for r in got] == distinct[1:] + [None]
-    assert {r["all_n"] for r in got} == {len(values)}
+@pytest.mark.parametrize("parts", [None, 1, 7, 50])
+def test_cumulate_is_the_running_count(spark, parts):
+    values = {"f": hot_values(), "g": [3.0] * 5, None: hot_values(90, 2)}  # a NULL key is a key
+    df = spark.createDataFrame([(k, v) for k, own in values.items() for v in own], "k string, v double")
+    counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    got = cumulate(counts, ["k"], "v", ["n", "s"], parts).collect()
+    for k, own in values.items():
+        mine = sorted((r for r in got if r["k"] == k), key=lambda r: r["v"])
+        distinct = sorted(set(own))
+        assert [r["v"] for r in mine] == distinct
+        assert [r["n"] for r in mine] == [own.count(v) for v in distinct]
+        assert [r["cum_n"] for r in mine] == [sum(x <= v for x in own) for v in distinct]
+        assert [r["cum_s"] for r in mine] == pytest.approx([sum(x for x in own if x <= v) for v in distinct], abs=1e-6)
+        assert [r["next_value"] for r in mine] == distinct[1:] + [None]
+        assert {r["all_n"] for r in mine} == {len(own)}
+
+
+def test_cumulate_without_keys_and_rows(spark):
+    counts = spark.createDataFrame([(float(i), i, "x") for i in range(40)], "v double, n long, _note string")
+    got = cumulate(counts, [], "v", ["n"], 5).orderBy("v").collect()
+    assert [r["cum_n"] for r in got] == [i * (i + 1) // 2 for i in range(40)] and {r["_note"] for r in got} == {"x"}
+    assert cumulate(counts.limit(0), [], "v", ["n"]).collect() == []
+
+
+def test_a_hot_key_is_scanned_in_many_parts(spark):
+    """One key with 19 in 20 rows: each part's window holds about its share, and the parts agree with the whole."""
+    counts = spark.range(20_000).selectExpr("if(id % 20 = 0, 'b', 'a') as k", "cast(id as double) as v", "1L as n")
+    got = cumulate(counts, ["k"], "v", ["n"], 16)
+    rows = [len(p) for p in counts.repartitionByRange(16, "k", "v").groupBy(F.spark_partition_id()).agg(F.collect_list("v")).toPandas().iloc[:, 1]]
+    assert max(rows) < 3 * 20_000 / 16
+    assert got.agg(F.max("cum_n"), F.sum("cum_n"), F.count("*")).first() == (19_000, 19_000 * 19_001 // 2 + 1000 * 1001 // 2, 20_000)
 
 
 def test_mean_ranks_average_ties(spark):
