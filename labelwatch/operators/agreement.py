@@ -10,17 +10,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelwatch.functions.draws import digest, pick
 from labelwatch.functions.numeric import count_if, d, r6, ratio, sign
+from labelwatch.sources.tables import local_table
 
 TOP_KS = (5, 10, 15)
 RHO_MINS = (0.3, 0.5)
 N_PERMUTATIONS = 10_000
 N_BOOTSTRAP = 1_000
 MIN_SIGN_FEATURES = 3
+# Fixed value: untied rankings up to this size have their p-value from the exact distribution.
+EXACT_ITEMS = 33
 STABLE_TAU, UNSTABLE_TAU = 0.85, 0.70
 
 
@@ -110,16 +114,42 @@ def _normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+def exact_tail(spark: SparkSession, largest: int = EXACT_ITEMS) -> DataFrame:
+    """(n, fewer, p_exact): two-sided probability that the rarer of concordant and discordant pairs number at most ``fewer``.
+
+    Shares of permutations by inversions, an item more at a time: the new item adds 0 to n - 1 inversions, each
+    equally likely. Some ``largest`` cubed / 12 rows, a fixed table.
+    """
+    rows, share = [], np.ones(1)
+    for n in range(2, largest + 1):
+        share = np.convolve(share, np.full(n, 1.0 / n))
+        tail = np.minimum(2.0 * np.cumsum(share), 1.0)
+        rows += [dict(n=n, fewer=k, p_exact=float(tail[k])) for k in range(n * (n - 1) // 4 + 1)]
+    return local_table(spark, rows, "n bigint, fewer bigint, p_exact double")
+
+
 def kendall_pvalue(pairs: DataFrame, keys: Sequence[str], a: str = "abs_a", b: str = "abs_b") -> DataFrame:
-    """Normal approximation of the two-sided p-value with the tie-corrected variance."""
+    """Two-sided p-value of tau, and the method that gave it.
+
+    ``exact`` for rankings without ties of at most ``EXACT_ITEMS`` items or with at most one pair out of order,
+    else ``normal`` with the tie-corrected variance. ``p_normal`` is the approximation in any case.
+    """
     n = d("n")
-    m = n * (n - 1)
+    m = F.when(n > 1, n * (n - 1))  # a single item has no pairs and no p-value
     var = ((m * (2 * n + 5) - F.col("x1") - F.col("y1")) / 18
            + 2 * F.col("ties_a") * F.col("ties_b") / m
            + F.when(n > 2, F.col("x0") * F.col("y0") / (9 * m * (n - 2))).otherwise(0.0))
-    return _tau_parts(pairs, keys, a, b).select(
-        *keys, r6(_tau()).alias("tau"),
-        r6(F.when(var > 0, _normal_tail(d("s") / F.sqrt(var)))).alias("p_normal"))
+    untied = (F.col("ties_a") == 0) & (F.col("ties_b") == 0) & (F.col("n") > 1)
+    fewer = F.when(untied, (m / 2 - F.abs(d("s"))) / 2).cast("bigint")
+    rows = _tau_parts(pairs, keys, a, b).withColumn("fewer", fewer)
+    rows = rows.join(F.broadcast(exact_tail(pairs.sparkSession)), ["n", "fewer"], "left")
+    # 2 * P(0) = 2 / n!, 2 * P(1 or less) = 2 / (n - 1)!
+    near = F.exp(F.lit(math.log(2.0)) - F.expr("aggregate(sequence(1L, n - fewer), 0D, (t, i) -> t + ln(i))"))
+    exact = F.coalesce("p_exact", F.when((F.col("n") > EXACT_ITEMS) & (F.col("fewer") <= 1), near))
+    normal = F.when(var > 0, _normal_tail(d("s") / F.sqrt(var)))
+    method = F.when(exact.isNotNull(), "exact").when(var > 0, "normal")
+    return rows.select(*keys, r6(_tau()).alias("tau"), r6(normal).alias("p_normal"),
+                       r6(F.coalesce(exact, normal)).alias("p_value"), method.alias("method"))
 
 
 def permutation_null(pairs: DataFrame, keys: Sequence[str], a: str = "abs_a", b: str = "abs_b",

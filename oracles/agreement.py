@@ -92,10 +92,18 @@ def pvalue_cte(keys="dataset, seed", pairs="pairs", taus="taus", out="pvals"):
 {out}_t as (select {keys}, sum(t * (t - 1) / 2) as ties, sum(t * (t - 1) * (t - 2)) as x0, sum(t * (t - 1) * (2 * t + 5)) as x1, side from (
      select {keys}, 'a' as side, cast(count(*) as double) as t from {pairs} group by {keys}, abs_a
      union all select {keys}, 'b', cast(count(*) as double) from {pairs} group by {keys}, abs_b) group by {keys}, side),
-{out}_v as (select {keys}, tau, s, (n * (n - 1) * (2 * n + 5) - a.x1 - b.x1) / 18 + 2 * a.ties * b.ties / (n * (n - 1))
+{out}_x as (with recursive shares(items, p) as (select 1, [cast(1 as double)] union all
+     select items + 1, list_transform(range(0, items * (items + 1) // 2 + 1), lambda k: list_sum(list_slice(p, greatest(1, k - items + 1), k + 1)) / (items + 1))
+     from shares where items < 33) select * from shares),
+{out}_v as (select {keys}, tau, s, n, a.ties + b.ties as ties, (n * (n - 1) * (2 * n + 5) - a.x1 - b.x1) / 18 + 2 * a.ties * b.ties / (n * (n - 1))
        + case when n > 2 then a.x0 * b.x0 / (9 * n * (n - 1) * (n - 2)) else 0.0 end as var
      from {taus} join {out}_n using ({keys}) join (select * from {out}_t where side = 'a') a using ({keys}) join (select * from {out}_t where side = 'b') b using ({keys})),
-{out} as (select {keys}, round(tau, 6) + 0.0 as tau, round(case when var > 0 then {_erfc('s / sqrt(var)')} end, 6) + 0.0 as p_normal from {out}_v)"""
+{out} as (select {keys}, round(tau, 6) + 0.0 as tau, round(case when var > 0 then {_erfc('s / sqrt(var)')} end, 6) + 0.0 as p_normal,
+     round(case when ties = 0 and n between 2 and 33 then least(1.0, 2.0 * list_sum(p[1:cast((n * (n - 1) / 2 - abs(s)) / 2 as int) + 1]))
+       when ties = 0 and n > 33 and n * (n - 1) / 2 - abs(s) <= 2 then 2.0 / gamma(n + 1.0 - (n * (n - 1) / 2 - abs(s)) / 2)
+       when var > 0 then {_erfc('s / sqrt(var)')} end, 6) + 0.0 as p_value,
+     case when ties = 0 and n > 1 and (n <= 33 or n * (n - 1) / 2 - abs(s) <= 2) then 'exact' when var > 0 then 'normal' end as method
+     from {out}_v left join {out}_x on items = n)"""
 
 
 def null_cte(n, keys="dataset, seed", out="nulls"):

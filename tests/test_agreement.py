@@ -100,3 +100,35 @@ def test_bootstrap_brackets_the_point(spark):
 def test_k_must_be_positive(spark):
     with pytest.raises(ValueError):
         ag.jaccard_at_k(pair(spark, [1], [1]), ["p"], (0,))
+
+
+@pytest.mark.parametrize("n", range(2, 9))
+def test_exact_p_equals_all_permutations(spark, n):
+    order = list(range(n))
+    scores = [sum((x > y) - (x < y) for x, y in itertools.combinations(q, 2)) for q in itertools.permutations(order)]
+    frames = []
+    for seed in range(3):
+        b = random.Random(seed).sample(order, n) if seed else order
+        frames.append((b, pair(spark, order, b, name=str(seed))))
+    rows = frames[0][1].unionByName(frames[1][1]).unionByName(frames[2][1])
+    got = {r["p"]: r for r in ag.kendall_pvalue(rows, ["p"]).collect()}
+    for seed, (b, _) in enumerate(frames):
+        own = abs(sum((x > y) - (x < y) for x, y in itertools.combinations(b, 2)))
+        want = sum(abs(s) >= own for s in scores) / len(scores)
+        assert got[str(seed)]["method"] == "exact" and got[str(seed)]["p_value"] == pytest.approx(want, abs=1e-6)
+
+
+def test_method_of_the_p_value(spark):
+    line = [float(i) for i in range(40)]
+    swapped = [1.0, 0.0, *line[2:]]
+    cases = {"long": (line, vector(40, 3)), "tied": ([1.0, 1.0, 2.0, 3.0], [4.0, 3.0, 2.0, 1.0]), "same": (line, line), "swap": (line, swapped),
+             "edge": (line[:33], vector(33, 3)), "over": (line[:34], vector(34, 3)), "flat": ([1.0] * 4, line[:4]), "one": ([1.0], [2.0])}
+    rows = None
+    for name, (a, b) in cases.items():
+        own = pair(spark, a, b, name=name)
+        rows = own if rows is None else rows.unionByName(own)
+    got = {r["p"]: r for r in ag.kendall_pvalue(rows, ["p"]).collect()}
+    assert {k: r["method"] for k, r in got.items()} == {"long": "normal", "tied": "normal", "same": "exact", "swap": "exact", "edge": "exact",
+                                                        "over": "normal", "flat": None, "one": None}
+    assert got["same"]["p_value"] == got["swap"]["p_value"] == 0.0 and got["flat"]["p_value"] is None
+    assert got["edge"]["p_value"] == pytest.approx(got["edge"]["p_normal"], abs=0.02)
