@@ -23,6 +23,7 @@ PRIME = (1 << 31) - 1
 BASE = 1_000_003
 LOW = (1 << 32) - 1
 BUCKET_ROWS = 2_000
+BROADCAST_ROWS = 100_000
 CUTS = 500
 SMALLEST = -(1 << 63)
 
@@ -72,8 +73,8 @@ def _likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _bucketed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """df with _order, _cut and _bucket, and the smallest _order of each bucket.
+def _bucketed(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """df with _order, _cut and _bucket, the smallest _order of each bucket, and a bound on the number of buckets.
 
     Quantiles of doc_id cut the rows into at most ``CUTS`` ranges, each range into buckets of equal width for some
     ``BUCKET_ROWS`` rows each, so a doc_id far from all others widens the buckets of its own range only. The
@@ -97,7 +98,7 @@ def _bucketed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.element_at(F.array(*map(F.lit, values)), F.col("_cut") + 1)
 
     df = df.withColumn("_bucket", F.floor((F.col("_order").cast("double") - of(low)) / of(width)))
-    return df, df.groupBy("_cut", "_bucket").agg(F.min("_order").alias("_order"))
+    return df, df.groupBy("_cut", "_bucket").agg(F.min("_order").alias("_order")), sum(r._n // BUCKET_ROWS + 1 for r in ranges)
 
 
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,7 +108,7 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     bucket before. Rows with one doc_id follow each other in order of their first column, null doc_ids come first.
     """
     names = df.columns
-    df, firsts = _bucketed(df)
+    df, firsts, buckets = _bucketed(df)
     # the bucket before: in the same range, else the last one of the range before, else the last of all
     ends = firsts.groupBy("_cut").agg(F.max("_bucket").alias("_last"))  # at most CUTS rows
     order, back = Window.orderBy("_cut"), Window.orderBy(F.col("_cut").desc())
@@ -115,7 +116,7 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     ends = ends.select("_cut", F.coalesce(F.lag(before).over(order), F.first(before).over(back)).alias("_before"))
     own = F.lag(F.struct("_cut", "_bucket")).over(Window.partitionBy("_cut").orderBy("_bucket"))
     firsts = firsts.withColumn("_own", own).join(F.broadcast(ends), "_cut").select("_order", F.coalesce("_own", "_before").alias("_to"))
-    heads = df.join(firsts, "_order")
+    heads = df.join(F.broadcast(firsts) if buckets <= BROADCAST_ROWS else firsts, "_order")
     heads = heads.withColumns({"_cut": F.col("_to._cut"), "_bucket": F.col("_to._bucket"), "_head": F.lit(True)})
     every = df.withColumn("_head", F.lit(False)).unionByName(heads.select(*df.columns, "_head"))
     # the head sent here sorts behind the bucket's own rows; in the last bucket it is the table's first row
