@@ -127,3 +127,28 @@ def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str, n: str | Non
     vx, vy = F.col("_xx") - centre, F.col("_yy") - centre
     rho = F.when((vx > 0) & (vy > 0), (F.col("_xy") - centre) / F.sqrt(vx * vy)).otherwise(0.0)
     return sums.select(*keys, F.col("_rows").alias("n_rows"), rho.alias(out))
+
+
+def spearman_binary(pairs: DataFrame, keys: Sequence[str], x: str, side: str, out: str = "rho",
+                    parts: int | None = None) -> DataFrame:
+    """Rank correlation of x with a side of 0 and 1, per key; no spread on either gives 0.0.
+
+    The ranks of a 0/1 side take two values, so the correlation follows from the mean rank of
+    the rows at 1: one prefix scan over distinct values and one sum, no join and no key of two
+    values. Rows without a value or a side take no part.
+    """
+    keys, one = list(keys), F.col(side) == 1
+    counts = pairs.filter(F.col(x).isNotNull() & F.col(side).isin(0, 1)).groupBy(*keys, x).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(one, 1)).alias("ones"))
+    run = cumulate(counts, keys, x, ["n", "ones"], parts)
+    n, ones, rows = F.col("n").cast("double"), F.col("ones").cast("double"), F.col("all_n").cast("double")
+    # mean-centred rank of a value
+    rank = F.col("cum_n").cast("double") - n + (n + 1.0) / 2.0 - (rows + 1.0) / 2.0
+    sums = run.groupBy(*keys).agg(
+        F.max("all_n").alias("n_rows"), F.max("all_ones").alias("_ones"),
+        F.sum(ones * rank).alias("_above"), F.sum(n * rank * rank).alias("_spread"))
+    n1 = F.col("_ones").cast("double")
+    n0 = F.col("n_rows").cast("double") - n1
+    rho = F.when((F.col("_spread") > 0) & (n0 > 0) & (n1 > 0),
+                 F.col("_above") * F.sqrt(F.col("n_rows").cast("double")) / F.sqrt(F.col("_spread") * n0 * n1)).otherwise(0.0)
+    return sums.select(*keys, F.col("n_rows").cast("double").alias("n_rows"), rho.alias(out))

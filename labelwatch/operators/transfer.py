@@ -11,7 +11,7 @@ from labelwatch.functions.draws import digest, hex_uniform, uniform
 from labelwatch.functions.numeric import count_if, d, r6, ratio
 from labelwatch.operators.agreement import bootstrap_mean_ci
 from labelwatch.operators.leakage import pooled_thresholds
-from labelwatch.operators.ordering import hash_rank, spearman
+from labelwatch.operators.ordering import hash_rank, spearman_binary
 from labelwatch.operators.scoring import METRICS, LinearScorer, linear_predictions
 from labelwatch.sources.views import LabelledTable, pooled_long
 
@@ -28,7 +28,7 @@ def polarity(a: LabelledTable, b: LabelledTable) -> DataFrame:
     The no-signal case is decided before the signs: a vacuous match is not
     agreement.
     """
-    rho = spearman(pooled_long([a, b]), ["dataset", "feature"], "value", "label")
+    rho = spearman_binary(pooled_long([a, b]), ["dataset", "feature"], "value", "label")
     both = rho.groupBy(F.col("feature").alias("concept")).agg(
         F.max(F.when(F.col("dataset") == a.name, F.col("rho"))).alias("rho_a"),
         F.max(F.when(F.col("dataset") == b.name, F.col("rho"))).alias("rho_b"))

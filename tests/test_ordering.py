@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelwatch.operators.ordering import cumulate, hash_rank, mean_ranks, spearman
+from labelwatch.operators.ordering import cumulate, hash_rank, mean_ranks, spearman, spearman_binary
 
 
 def hot_values(n=600, seed=1):
@@ -87,3 +87,21 @@ def test_orders_without_lines_stay(spark):
     t = order_status(spark, folder)
     assert t.frame.count() == spark.read.parquet(f"{folder}/orders.parquet").count()
     assert t.frame.filter("n_lines is null or sum_qty is null").isEmpty()
+
+
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_correlation_with_a_binary_side_is_that_of_the_ranks(spark, parts):
+    values = hot_values()
+    rows = [("mixed", x, int(x + random.Random(i).gauss(0, 8) > 0)) for i, x in enumerate(values)]
+    rows += [("constant", 1.0, i % 2) for i in range(6)] + [("one side", float(i), 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, x double, y int")
+    want = {r.k: r.rho for r in spearman(df, ["k"], "x", "y").collect()}
+    gaps = spark.createDataFrame([("mixed", None, 1), ("mixed", 5.0, None)], "k string, x double, y int")  # no part
+    got = {r.k: r.rho for r in spearman_binary(df.unionByName(gaps), ["k"], "x", "y", parts=parts).collect()}
+    assert got.keys() == want.keys() and got["constant"] == got["one side"] == 0.0
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want) and want["mixed"] > 0.3
+
+
+def test_binary_correlation_has_no_join(spark):
+    df = spark.range(50).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("y"))
+    assert "Join" not in spearman_binary(df, ["k"], "x", "y")._jdf.queryExecution().toString()
