@@ -30,6 +30,12 @@ def half_agreement(s, p):
     return ag.kendall_pvalue(pairs, keys).join(ag.top1_agreement(pairs, keys), keys)
 
 
+def vote_importance(s, p):
+    t = models.settled(split_planted(s, p))
+    return models.vote_importance(t, models.fit_base_models(t)).select(
+        "feature", r6("importance").alias("importance"), r6("importance_std").alias("importance_std"), "n_repeats")
+
+
 # A small space of each learner: see the README for what the defaults cost.
 SMALL_SPACES = {"forest": {"numTrees": (5, 10), "maxDepth": (3, 5), "minInstancesPerNode": (1, 5)},
                 "boosted_deep": {"maxIter": (3, 5), "maxDepth": (3, 5), "subsamplingRate": (0.8, 1.0)},
@@ -52,6 +58,7 @@ QUERIES = {
     "random_search": searched,
     "search_plan": lambda s, p: searched(s, p).groupBy("dataset", "learner").agg(
         F.count("*").alias("n_trials"), F.countDistinct("cell").alias("n_cells"), F.every(F.expr("mean_f1 between 0 and 1")).alias("scored")),
+    "vote_importance": vote_importance,
     "tree_complexity": lambda s, p: models.tree_complexity(split_planted(s, p)),
     "attribution_tree": lambda s, p: models.explain_forest(split_planted(s, p)).attributions,
     "attribution_members": lambda s, p: models.explain_members(split_planted(s, p)).attributions,

@@ -83,7 +83,7 @@ def vote(s, p):
 
 
 def summary(s, p):
-    scores = scoring.score_predictions(test_predictions(s, p, SEEDS[:3]), CELL)
+    scores = scoring.score_predictions(test_predictions(s, p, SEEDS), CELL)
     return scoring.seed_summary(scores, ["config", "model"], model_order=["linear"])
 
 
@@ -133,7 +133,7 @@ QUERIES = {
     "regime_reconciliation": regimes,
     "score_predictions": lambda s, p: scoring.score_predictions(test_predictions(s, p), CELL),
     "roc_auc": lambda s, p: scoring.roc_auc(test_predictions(s, p), CELL),
-    "confusion_matrix": lambda s, p: scoring.confusion_matrix(test_predictions(s, p, SEEDS[:2]), ["config", "model"]),
+    "confusion_matrix": lambda s, p: scoring.confusion_matrix(test_predictions(s, p, SEEDS), ["config", "model"]),
     "log_loss": lambda s, p: scoring.log_loss(test_predictions(s, p), CELL),
     "majority_baseline": lambda s, p: scoring.majority_baseline(test_predictions(s, p), CELL),
     "soft_vote": vote,

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwatch.functions.draws import uniform
 from labelwatch.functions.numeric import count_if, d, r6, ratio, steady
 from labelwatch.operators.ordering import cumulate, hash_rank, spearman
+from labelwatch.session import stored
 from labelwatch.sources.views import LabelledTable
 
 BACKGROUND_SHARE = 0.1
@@ -22,6 +23,7 @@ ZERO = 1e-12
 CONVERGENCE_SIZES = (5000, 10000, 20000)
 LADDER = (0.25, 0.5, 1.0)
 LADDER_FLOOR = 50
+MULTIPLIERS = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099)  # primes
 
 
 def linear_weights(long_rows: DataFrame, keys: Sequence[str], seed: int = 42,
@@ -120,33 +122,50 @@ def quantile_of(frame: DataFrame, keys: Sequence[str], value: str, q: float) ->
     return run.groupBy(*keys).agg(*quantile_columns(value, "n", {"quantile": q}))
 
 
-def permutation_importance(table: LabelledTable, scorer, n_repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Mean rise of the log-loss when one feature's column is shuffled, for ALL features.
+def shuffled(table: LabelledTable, n_repeats: int, seed: int = 42) -> DataFrame:
+    """(rep, id, label, features, _d_<feature>): every row beside the donor of its shuffled values, in each repeat.
 
-    A shuffle pairs two independent digest orders of the same rows: the row at
-    position k takes the value of the row at position k of the other order.
-    Both orders are bucketed by digest prefix, so no task ever sorts a column.
+    Rows stand in one digest order, numbered from 0. Repeat r shuffles by a bijection of the
+    numbers, k -> (a * k + seed + r) mod n, where a is the first of ``MULTIPLIERS``, from the r-th on,
+    that does not divide n. So no second order is computed and every row is donor exactly once a
+    repeat. Rows without a label take no part.
     """
-    base = table.wide().withColumn("_score", F.round(scorer.score(), 6))
-    slot = hash_rank(base, [], "id", "slot", seed, rank="k").select("k", "label", "_score", *table.features)
-    donors = None
+    features = list(table.features)
+    ranked = hash_rank(table.wide().filter("label is not null"), [], "id", "slot", seed, rank="k", total="n")
+    slots = stored(ranked.withColumn("k", F.col("k") - 1))
+    donor = []
     for rep in range(n_repeats):
-        shuffled = hash_rank(base, [], "id", "shuffle", seed, rep, rank="k").select(
-            F.lit(rep).alias("rep"), "k", *[F.col(f).alias(f"_d_{f}") for f in table.features])
-        donors = shuffled if donors is None else donors.unionByName(shuffled)
-    cells = donors.join(slot, "k")
+        turn = rep % len(MULTIPLIERS)
+        factor = F.coalesce(*[F.when(F.col("n") % m != 0, F.lit(m)) for m in (*MULTIPLIERS[turn:], *MULTIPLIERS[:turn])])
+        donor.append(F.struct(F.lit(rep).alias("rep"), ((F.col("k") * factor + seed + rep) % F.col("n")).alias("k")))
+    asked = slots.select("id", "label", *features, F.inline(F.array(*donor)))
+    return asked.join(slots.select("k", *[F.col(f).alias(f"_d_{f}") for f in features]), "k").drop("k")
+
+
+def log_loss(probability: Column) -> Column:
+    """Loss of a row's probability against its label, kept finite."""
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), probability))
+    return -F.ln(F.when(F.col("label") == 1, p).otherwise(1.0 - p))
+
+
+def mean_rises(rises: DataFrame) -> DataFrame:
+    """Mean and deviation over the repeats of (rep, feature, rise)."""
+    return rises.groupBy("feature").agg(
+        F.avg("rise").alias("importance"), F.coalesce(F.stddev_samp("rise"), F.lit(0.0)).alias("importance_std"),
+        F.count(F.lit(1)).alias("n_repeats"))
+
 
-    def loss(score):
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
-        p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
-        return -F.ln(F.when(F.col("label") == 1, p).otherwise(1.0 - p))
+def permutation_importance(table: LabelledTable, scorer, n_repeats: int = 5, seed: int = 42) -> DataFrame:
+    """Mean rise of the log-loss when one feature's column is shuffled, for ALL features.
 
+    ``table`` holds the rows to score, which should not be those of the fit.
+    """
+    cells = shuffled(table, n_repeats, seed).withColumn("_score", F.round(scorer.score(), 6))
+    loss = lambda score: log_loss(F.lit(1.0) / (F.lit(1.0) + F.exp(-score)))
     moved = [(loss(F.col("_score") - scorer.part(f) + scorer.part(f, d(f"_d_{f}"))) - loss(F.col("_score"))).alias(f)
              for f in table.features]
     means = cells.select("rep", *moved).groupBy("rep").agg(*[F.avg(f).alias(f) for f in table.features])
-    return (means.unpivot(["rep"], list(table.features), "feature", "rise").groupBy("feature").agg(
-        F.avg("rise").alias("importance"), F.coalesce(F.stddev_samp("rise"), F.lit(0.0)).alias("importance_std"),
-        F.count(F.lit(1)).alias("n_repeats")))
+    return mean_rises(means.unpivot(["rep"], list(table.features), "feature", "rise"))
 
 
 def importance_degeneracy(importances: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwatch.functions.numeric import d, r6
 from labelwatch.operators import scoring
-from labelwatch.operators.importance import global_importance
+from labelwatch.operators.importance import global_importance, log_loss, mean_rises, shuffled
 from labelwatch.operators.splitting import background_sample, stratified_sample
 from labelwatch.operators.tree_paths import TreePaths, margin_shapley, node_depths, probability_shapley, tree_paths
 from labelwatch.session import ensure_checkpoint_dir, scratch_folder
@@ -83,6 +83,25 @@ def performance_grid(tables: Sequence[LabelledTable], seed: int = 42) -> DataFra
     return scoring.score_predictions(pred, ["config", "model", "seed"])
 
 
+def vote_importance(table: LabelledTable, models: Mapping, n_repeats: int = 5, seed: int = 42) -> DataFrame:
+    """Permutation importance of the soft vote on the test rows: (feature, importance, importance_std, n_repeats).
+
+    Each test row is scored once as it is and once for each feature and repeat with that
+    feature's value taken from its donor; all of it is one pass of the fitted models.
+    """
+    names = list(table.features)
+    cells = shuffled(table.where(F.col("split") == "test"), n_repeats, seed)
+    # feature '' is the row as it is
+    variants = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), *[d(f"_d_{g}" if g == f else g).alias(g) for g in names]) for f in ("", *names)]))
+    rows = cells.select(F.col("rep"), "label", variants.alias("v")).select(
+        F.struct("rep", "v.feature").alias("id"), "label", *[F.col(f"v.{g}").alias(g) for g in names])
+    scored = score_models(LabelledTable(rows, tuple(names), table.name), models)
+    means = scored.groupBy("id.rep", "id.feature").agg(F.avg(log_loss(F.col("p_ensemble"))).alias("loss"))
+    base = F.max(F.when(F.col("feature") == "", F.col("loss"))).over(Window.partitionBy("rep"))  # features + 1 rows
+    return mean_rises(means.select("rep", "feature", (F.col("loss") - base).alias("rise")).filter("feature != ''"))
+
+
 def node_table(model, spark) -> DataFrame:
     """The nodes of fitted trees as MLlib stores them: (tree, id, left, right, feature, cut, n0, n1, prediction)."""
     path = f"{scratch_folder(spark)}/trees"

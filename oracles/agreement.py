@@ -1,7 +1,7 @@
 """SQL for attributions, profiles and agreement: textbook forms over explicit pairs."""
 
 from oracles.base import ranked
-from oracles.leakage import VIEW_NAMES
+from oracles.leakage import VIEW_NAMES, split_cte
 from oracles.verdicts import steady
 from oracles.views import FEATURES, long, query, u
 
@@ -226,18 +226,25 @@ MASS = """masses as (select {k}, feature, abs_a / sum(abs_a) over (partition by
 mdist as (select {k}, round(sum(abs(ma - mb)), 6) as mass_l1_distance, round(max(ma), 6) as top1_mass_a, round(max(mb), 6) as top1_mass_b from masses group by {k})"""
 
 
-def _permutation_ctes(view="planted", reps=2, seed=42):
+_MULTIPLIERS = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099)
+
+
+def _permutation_ctes(view="planted", reps=5, seed=42):
+    """Fit on train; each test row with the values of the row at the number that the repeat's bijection names."""
     f = FEATURES[view]
     from oracles.verdicts import linear_cte
-    ctes = [f"tagged as (select *, 'train' as split from {view})", linear_cte(view, "tagged", "scored_rows"),
-            f"slots as (select *, row_number() over (order by md5(concat_ws('|', 'slot', {seed}, id)), id) as k from scored_rows)"]
+    ctes = [split_cte(view, "tagged"), linear_cte(view, "tagged", "scored_rows"),
+            f"""slots as (select *, row_number() over (order by md5(concat_ws('|', 'slot', {seed}, id)), id) - 1 as k, count(*) over () as n
+                from scored_rows where split = 'test')"""]
     loss = "-ln(case when label = 1 then greatest(1e-15, least(1 - 1e-15, 1.0 / (1.0 + exp(-({s}))))) else 1.0 - greatest(1e-15, least(1 - 1e-15, 1.0 / (1.0 + exp(-({s}))))) end)"
     parts = []
     for rep in range(reps):
-        ctes.append(f"don{rep} as (select {', '.join(f'{x} as d_{x}' for x in f)}, row_number() over (order by md5(concat_ws('|', 'shuffle', {seed}, {rep}, id)), id) as k from {view})")
+        factor = "case " + " ".join(f"when n % {m} <> 0 then {m}" for m in (*_MULTIPLIERS[rep:], *_MULTIPLIERS[:rep])) + " end"
+        ctes.append(f"ask{rep} as (select *, (k * ({factor}) + {seed + rep}) % n as dk from slots)")
         for x in f:
-            moved = f"score - w_{x} * ({x} - m_{x}) / sd_{x} + w_{x} * (d_{x} - m_{x}) / sd_{x}"
-            parts.append(f"select '{x}' as feature, {rep} as rep, avg({loss.replace('{s}', moved)} - {loss.replace('{s}', 'score')}) as rise from slots join don{rep} using (k), scored_rows_w")
+            moved = f"a.score - w_{x} * (a.{x} - m_{x}) / sd_{x} + w_{x} * (b.{x} - m_{x}) / sd_{x}"
+            parts.append(f"select '{x}' as feature, {rep} as rep, avg({loss.replace('label', 'a.label').replace('{s}', moved)} - {loss.replace('label', 'a.label').replace('{s}', 'a.score')}) as rise "
+                         f"from ask{rep} a join slots b on b.k = a.dk, scored_rows_w")
     ctes.append("perm as (select feature, avg(rise) as importance, coalesce(stddev_samp(rise), 0.0) as importance_std, count(*) as n_repeats from ("
                 + " union all ".join(parts) + ") group by feature)")
     return ctes

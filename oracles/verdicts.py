@@ -5,6 +5,9 @@ from oracles.leakage import VIEW_NAMES, all_trees, counts_cte, split_cte, thresh
 from oracles.views import FEATURES, SQL, long, query
 
 
+SEEDS = (42, 43, 44, 45, 46)
+
+
 def curve_ctes(views=VIEW_NAMES, features=None, names=None, out="curve"):
     ctes, parts = [], []
     for w in views:
@@ -182,14 +185,14 @@ ORACLES = {
         round(cast(count(p.id) as double) / sum(count(p.id)) over (partition by g.config, g.model, g.label), 6) as row_share
         from (select * from (select distinct config, model from pred), (values (0), (1)) a(label), (values (0), (1)) b(prediction)) g
         left join pred p on p.config = g.config and p.model = g.model and p.label = g.label and p.prediction = g.prediction
-        group by g.config, g.model, g.label, g.prediction""", seeds=(42, 43)),
+        group by g.config, g.model, g.label, g.prediction""", seeds=SEEDS),
     "log_loss": pred_query("""select config, model, seed, round(avg(-ln(case when label = 1 then pp else 1.0 - pp end)), 6) as log_loss
         from (select *, greatest(1e-15, least(1 - 1e-15, probability)) as pp from pred) group by 1, 2, 3"""),
     "majority_baseline": pred_query("""select config, model, seed, round(greatest(r, 1 - r), 6) as majority_accuracy, round(a, 6) as accuracy,
         round(a - greatest(r, 1 - r), 6) + 0.0 as accuracy_above_majority from (select config, model, seed, avg(cast(label as double)) as r,
           avg(cast(label = prediction as double)) as a from pred group by 1, 2, 3)"""),
     "soft_vote": _vote(),
-    "seed_summary": pred_query(_SUMMARY + ", 1 as model_rank from scored group by config, model", rates_sql(), seeds=(42, 43, 44)),
+    "seed_summary": pred_query(_SUMMARY + ", 1 as model_rank from scored group by config, model", rates_sql(), seeds=SEEDS),
     "sanity_checks": pred_query("""select config, accuracy as accuracy_mean, accuracy >= 0.9 as above_floor,
         case config when 'order_status' then accuracy between 0.4 and 0.6 else accuracy between 0.95 and 1.0 end as in_band,
         config <> 'order_status' or accuracy < 1.0 as imperfect_enough from scored""", rates_sql()),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelwatch.operators import models, rounds, tree_paths
+from labelwatch.operators.importance import shuffled
 from labelwatch.operators.splitting import stratified_sample, stratified_split
 from labelwatch.sources.views import LabelledTable
 
@@ -198,3 +199,35 @@ def test_sample_keeps_null_classes_and_never_exceeds_n(spark, n):
     sizes = {r["label"]: r["count"] for r in got.groupBy("label").count().collect()}
     assert sum(sizes.values()) == min(n, 100)
     assert n < 3 or set(sizes) == {None, 0, 1}
+
+
+@pytest.mark.parametrize("n", [1, 2, 97, 400])
+def test_every_row_is_donor_once_a_repeat(spark, n):
+    frame = spark.range(n).withColumns({"x": F.col("id").cast("double"), "label": (F.col("id") % 2).cast("int")})
+    nulls = spark.createDataFrame([(-1, -1.0, None)], "id long, x double, label int")  # no part
+    got = shuffled(LabelledTable(frame.unionByName(nulls), ("x",), "made", id_col="id", label_col="label"), 3).collect()
+    by_rep = [{r["x"]: r["_d_x"] for r in got if r["rep"] == rep} for rep in range(3)]
+    assert len(got) == 3 * n and all(set(m) == set(m.values()) == {float(i) for i in range(n)} for m in by_rep)
+    if n > 90:
+        assert by_rep[0] != by_rep[1] != by_rep[2]
+        assert all(sum(x == y for x, y in m.items()) < n / 10 for m in by_rep)
+
+
+def test_importance_of_the_vote_against_rows_scored_one_by_one(spark, table):
+    fitted = models.fit_base_models(table)
+    got = {r["feature"]: r for r in models.vote_importance(table, fitted, n_repeats=2).collect()}
+    test = table.where(F.col("split") == "test")
+    cells = [r.asDict() for r in shuffled(test, 2).collect()]
+
+    def losses(rows):
+        frame = spark.createDataFrame([(i, r["label"], r["a"], r["b"], r["c"]) for i, r in enumerate(rows)], "id long, label int, a double, b double, c double")
+        p = {r["id"]: r["p_ensemble"] for r in models.score_models(replace(table, frame=frame), fitted).collect()}
+        return np.array([-np.log(p[i] if r["label"] == 1 else 1 - p[i]) for i, r in enumerate(rows)])
+
+    whole = losses(cells)
+    for f in table.features:
+        rise = losses([{**r, f: r[f"_d_{f}"]} for r in cells]) - whole
+        reps = [rise[[r["rep"] == rep for r in cells]].mean() for rep in (0, 1)]
+        assert abs(got[f]["importance"] - np.mean(reps)) < 1e-9
+        assert abs(got[f]["importance_std"] - np.std(reps, ddof=1)) < 1e-9
+    assert got["a"]["importance"] > got["b"]["importance"] > abs(got["c"]["importance"])
