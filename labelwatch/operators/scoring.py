@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -40,6 +40,28 @@ class LinearScorer:
         return reduce(add, [self.part(f) for f in (only or self.features)])
 
 
+@dataclass(frozen=True)
+class CrossFitted:
+    """Scorers of rows that took no part in their fit: ``by`` names the column that holds a row's key."""
+
+    by: str
+    scorers: Mapping[str, LinearScorer]
+
+    def _own(self, expression: Callable[[LinearScorer], Column]) -> Column:
+        return F.coalesce(*[F.when(F.col(self.by) == key, expression(s)) for key, s in self.scorers.items()])
+
+    def part(self, feature: str, value: Column | None = None) -> Column:
+        return self._own(lambda s: s.part(feature, value))
+
+    def score(self) -> Column:
+        return self._own(lambda s: s.score())
+
+
+def cross_fit(table: LabelledTable, by: str = "half", pair: tuple[str, str] = ("a", "b")) -> CrossFitted:
+    """Each half's rows are scored by the fit on the other half, so every row is scored and none by its own fit."""
+    return CrossFitted(by, {mine: fit_linear(table.where(F.col(by) == other)) for mine, other in (pair, pair[::-1])})
+
+
 def fit_linear(table: LabelledTable) -> LinearScorer:
     """Weight (mean1 - mean0) / std per feature, from one aggregation of the training rows.
 

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelwatch.operators import models, rounds, tree_paths
-from labelwatch.operators.importance import shuffled
-from labelwatch.operators.splitting import stratified_sample, stratified_split
+from labelwatch.operators import models, rounds, scoring, tree_paths
+from labelwatch.operators.importance import permutation_importance, shuffled
+from labelwatch.operators.splitting import stratified_halves, stratified_sample, stratified_split
 from labelwatch.sources.views import LabelledTable
 
 
@@ -213,6 +213,39 @@ def test_every_row_is_donor_once_a_repeat(spark, n):
         assert all(sum(x == y for x, y in m.items()) < n / 10 for m in by_rep)
 
 
+def test_permutation_importance_scores_every_row_by_the_other_half(spark):
+    """Against rows scored one by one; every row takes part and none is scored by a fit it was part of."""
+    u = lambda tag: F.pmod(F.xxhash64(F.lit(tag), "id"), F.lit(1000)).cast("double")
+    frame = spark.range(300).withColumns({"a": u("a"), "b": u("b")}).withColumn("label", (F.col("a") + F.col("b") / 4 > 600).cast("int"))
+    t = stratified_halves(LabelledTable(frame, ("a", "b"), "made", id_col="id", label_col="label"))
+    fitted = scoring.cross_fit(t)
+    assert fitted.scorers["a"] == scoring.fit_linear(t.where(F.col("half") == "b")) != fitted.scorers["b"]
+    cells = [r.asDict() for r in shuffled(t, 2, 42, "half").collect()]
+    assert len(cells) == 2 * 300 and {r["id"] for r in cells} == set(range(300))
+
+    def loss(r):
+        s = fitted.scorers[r["half"]]
+        score = sum(s.weights[f] * (r[f] - s.centres[f]) / s.spreads[f] for f in t.features)
+        p = min(max(1 / (1 + np.exp(-score)), 1e-15), 1 - 1e-15)
+        return -np.log(p if r["label"] == 1 else 1 - p)
+
+    for r in permutation_importance(t, fitted, n_repeats=2, carry=["half"]).collect():
+        f = r["feature"]
+        reps = [np.mean([loss({**c, f: c[f"_d_{f}"]}) - loss(c) for c in cells if c["rep"] == rep]) for rep in (0, 1)]
+        assert abs(r["importance"] - np.mean(reps)) < 1e-5
+
+
+def test_registered_permutation_importance_covers_all_rows(spark, monkeypatch):
+    from labelwatch.catalog import agreement
+    from labelwatch.operators import importance
+
+    folder, asked = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(importance, "shuffled", lambda *a, **k: asked.append(shuffled(*a, **k)) or asked[-1])
+    agreement.QUERIES["permutation_importance"](spark, folder)
+    rows = spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert {r["rep"]: r["count"] for r in asked[0].groupBy("rep").count().collect()} == dict.fromkeys(range(5), rows)
+
+
 def test_importance_of_the_vote_against_rows_scored_one_by_one(spark, table):
     fitted = models.fit_base_models(table)
     got = {r["feature"]: r for r in models.vote_importance(table, fitted, n_repeats=2).collect()}
