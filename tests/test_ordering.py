@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelwatch.operators.ordering import cumulate, hash_rank, mean_ranks, spearman, spearman_binary
+from labelwatch.operators.importance import directional_importance, linear_weights, with_background
+from labelwatch.operators.ordering import cumulate, hash_cuts, hash_rank, mean_ranks, spearman, spearman_binary
+from labelwatch.operators.splitting import stratified_halves, stratified_sample, stratified_split
+from labelwatch.sources.views import LabelledTable
 
 
 def hot_values(n=600, seed=1):
@@ -105,3 +108,60 @@ def test_correlation_with_a_binary_side_is_that_of_the_ranks(spark, parts):
 def test_binary_correlation_has_no_join(spark):
     df = spark.range(50).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("y"))
     assert "Join" not in spearman_binary(df, ["k"], "x", "y")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_cuts_split_rows_as_their_ranks_do(spark, parts):
+    """Null classes, a class of one row and one without a test row; no row is shuffled to be split."""
+    frame = spark.range(3001).repartition(parts).selectExpr(
+        "id", "case when id = 7 then 2 when id % 10 = 0 then null else cast(id % 3 = 0 as int) end as label", "double(id) as x")
+    t = LabelledTable(frame, ("x",), "made")
+    total = F.col("total").cast("double")
+    test, val = F.floor(total * 0.15 + 0.5), F.floor(total * 0.15 + 0.5) * 2
+    want = hash_rank(frame, ["label"], "id", 42, total="total").select(
+        "id", F.when(F.col("rank") <= test, "test").when(F.col("rank") <= val, "val").otherwise("train")).collect()
+    split = stratified_split(t).frame
+    assert dict(split.select("id", "split").collect()) == dict(want) and split.columns == [*frame.columns, "split"]
+    want = hash_rank(frame, ["label"], "id", "half", 43, total="total").select(
+        "id", F.when(F.col("rank") <= F.floor(total * 0.5 + 0.5), "a").otherwise("b")).collect()
+    assert dict(stratified_halves(t, 43).frame.select("id", "half").collect()) == dict(want)
+    plan = stratified_split(LabelledTable(spark.range(50).selectExpr("id", "id % 2 as label"), (), "made")).frame
+    assert not {"Exchange", "Sort", "Window", "Join"} & set(plan._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+
+
+def test_repeated_ids_are_split_by_rank(spark):
+    frame = spark.range(400).selectExpr("if(id < 300, null, id) as id", "1 as label")
+    t = LabelledTable(frame, (), "made")
+    assert hash_cuts(frame, "label", "id", {"a": F.lit(200)}, "half", 42) is None
+    assert {r["half"]: r["count"] for r in stratified_halves(t).frame.groupBy("half").count().collect()} == {"a": 200, "b": 200}
+    many = spark.range(400).selectExpr("id", "id as label")  # too many classes to look up
+    assert hash_cuts(many, "label", "id", {"a": F.lit(1)}, "half", 42) is None
+    assert stratified_halves(LabelledTable(many, (), "made")).frame.filter("half = 'a'").count() == 400
+
+
+def test_direction_of_a_monotone_attribution_is_the_rank_correlation(spark):
+    """Signs without ranking; constant sides, rounding that merges values, and null keys as in the general way."""
+    rows = [(k, float(i), w * (i - 7.0)) for k, w in (("up", 0.5), ("down", -2.0), ("none", 0.0), (None, 3.0)) for i in range(20)]
+    rows += [("one value", 3.0, 1.0)] * 4 + [("merged", x, -(x - 2.0)) for x in (0.0, 1e-20, 5.0, 5.0)]
+    rows += [("nan", float("nan"), float("nan")), ("nan", 1.0, float("nan"))]
+    attr = spark.createDataFrame([(k, "f", x, y) for k, x, y in rows], "k string, feature string, value double, attribution double")
+    want = {r.k: r.direction for r in directional_importance(attr.filter("k is not null"), ["k"]).collect()} | {None: 1.0}
+    got = {r.k: r.direction for r in directional_importance(attr, ["k"], monotone=True).collect()}
+    assert got == pytest.approx(want) and -1.0 < got["merged"] < -0.9 and got["up"] == 1.0
+    assert got["none"] == got["one value"] == got["nan"] == 0.0
+
+
+def test_rows_may_bring_the_background_draw(spark):
+    frame = spark.range(300).selectExpr("id", "cast(id % 3 = 0 as int) as label", "cast(id % 17 as double) as x")
+    t = LabelledTable(frame, ("x",), "made")
+    carried = with_background(t, 43).long("drawn")
+    assert linear_weights(carried, [], 43).collect() == linear_weights(t.long(), [], 43).collect()
+    assert carried.filter("drawn").count() not in (0, 300)
+
+
+def test_sample_is_the_first_ranks_of_each_class(spark):
+    frame = spark.range(1000).selectExpr("id", "cast(id % 4 = 0 as int) as label")
+    want = {r["id"] for r in hash_rank(frame, ["label"], "id", "sample", 42).collect() if r["rank"] <= (25 if r["label"] else 75)}
+    got = stratified_sample(LabelledTable(frame, (), "made"), 100).frame
+    assert {r["id"] for r in got.collect()} == want and len(want) == 100
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
