@@ -8,7 +8,11 @@ from labelwatch.sources import views as v
 
 def tree_scores(spark, folder):
     """Single-feature tree scores of every audited view."""
-    return stumps.single_feature_tree([stratified_split(view(spark, folder)) for view in v.VIEWS.values()])
+    return tree_scores_of([v.stored_view(view(spark, folder)) for view in v.VIEWS.values()])
+
+
+def tree_scores_of(tables):
+    return stumps.single_feature_tree([stratified_split(t) for t in tables])
 
 
 QUERIES = {

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from labelwatch.functions.numeric import count_if, d, r6, ratio
 from labelwatch.operators.leakage import mutual_information
 from labelwatch.operators.ordering import cumulate
+from labelwatch.session import stored
 from labelwatch.sources.tables import local_table
 from labelwatch.sources.views import LabelledTable, pooled_long
 
@@ -106,7 +107,7 @@ def grow(counts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 def single_feature_tree(tables: Sequence[LabelledTable], split_col: str = "split",
                         depth: int = MAX_DEPTH) -> DataFrame:
     """Test scores of a depth-limited tree grown on each feature of each table alone."""
-    counts = split_value_counts(tables, split_col)
+    counts = stored(split_value_counts(tables, split_col))  # read to grow and to score
     return _test_scores(counts, grow(counts, depth))
 
 

@@ -165,3 +165,13 @@ def test_sample_is_the_first_ranks_of_each_class(spark):
     got = stratified_sample(LabelledTable(frame, (), "made"), 100).frame
     assert {r["id"] for r in got.collect()} == want and len(want) == 100
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_curves_are_settled_once(spark):
+    """A table of features, not the rows behind it, is what verdicts and joins read."""
+    from labelwatch.catalog.verdicts import curves_of
+
+    frame = spark.range(60).selectExpr("id", "cast(id < 30 as int) as label", "double(id) as x", "double(id % 7) as y")
+    curve = curves_of([LabelledTable(frame, ("x", "y"), "made")])
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and curve.orderBy("iteration").first()["top_feature"] == "x"
