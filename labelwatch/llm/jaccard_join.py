@@ -16,7 +16,9 @@ previous one (a linear number of pairs), links are contracted, and then every ca
 are still in different components is verified. Pairs left out lie inside one component.
 Verification: bitmaps of two bits a token give an upper bound of what two sets share (a bit of one that the other
 lacks stands for a token it lacks). Only pairs whose bound reaches the threshold send their whole sets.
-Exact copies are one node. The slot counts, 2**18 numbers at any input size, are all that reaches the driver.
+Which documents are needed goes to the tasks as 2**26 bits by hash of doc_id, so no text is shuffled; sets that only share a
+bit with a needed one find no partner in the join that follows. Exact copies are one node. These bits and the slot counts,
+2**18 numbers, are all that reaches the driver, at any input size.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from labelwatch.llm.blocks import (U, dropped, gram_hashes, mix, slices, span_ha
 WORDS, PERCENT = 5, 80
 SLOTS = 1 << 18
 PER_GROUP = 4
+ID_SLOTS, PART_BYTES = 1 << 26, 4096  # bits of the mark on doc_ids; bytes of one of Spark's bitmaps
 SMALL = 20  # sets below this size sign single tokens only
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -182,9 +185,34 @@ def _signed(k: int, percent: int, counts: np.ndarray):
     return run
 
 
-def _sets(k: int):
+def id_slots(ids: np.ndarray) -> np.ndarray:
+    """Numbers below ID_SLOTS, by hash."""
+    return (mix(ids.astype(np.int64).view(U)) & U(ID_SLOTS - 1)).astype(np.int64)
+
+
+def marked(ids: DataFrame) -> np.ndarray:
+    """ID_SLOTS bits, 8 MB at any input size, in which those of doc_id in ids are set; tasks mark, the driver unites."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Spark's bitmaps count from 1
+            yield pa.RecordBatch.from_arrays([pa.array(id_slots(batch.column("doc_id").to_numpy()) + 1)], names=["slot"])
+
+    slots = ids.mapInArrow(run, "slot long")
+    parts = slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("part")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).toArrow()
+    flags = np.zeros(ID_SLOTS // 8, np.uint8)
+    for part, bits in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist()):
+        at = (part - 1) * PART_BYTES
+        flags[at: at + PART_BYTES] = np.frombuffer(bits, np.uint8)
+    return flags
+
+
+def _sets(k: int, flags: np.ndarray):
+    """Token sets of the marked documents and of the few that share a bit with one; others leave no row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = id_slots(batch.column("doc_id").to_numpy())
+            batch = batch.filter(pa.array((flags[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch):
                 found = [f.tobytes() for _, f, _ in _token_sets(part, k)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())],
@@ -213,8 +241,9 @@ def verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, k: int, percent
     side = lambda doc, n, bits: meta.select(F.col("doc_id").alias(doc), F.col("n").alias(n), F.col("bits").alias(bits))
     near = written(pairs.join(side("a", "n_a", "x"), "a").join(side("b", "n_b", "y"), "b")
                    .mapInArrow(_can_link(percent), "a long, b long"))
-    needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = written(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, tokens binary"))
+    # texts stay where they are read: a join with the ids would shuffle them all
+    flags = marked(near.select(F.col("a").alias("doc_id")).union(near.select("b")))
+    sets = written(docs.mapInArrow(_sets(k, flags), "doc_id long, tokens binary"))
     both = (near.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
             .select("a", "b", "x", "y"))

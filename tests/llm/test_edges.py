@@ -4,8 +4,11 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from labelwatch.llm import bestfit_pack, html_region, winnow
 
 PLAIN = html_region.Weights(0.5, {"link True": -4.0}, {"li": -1.0, "ul": -1.0, "a": -1.0})
@@ -148,3 +151,29 @@ def test_ends_of_tags():
             "&#0000065;&#99999999999999999999;": "A�"}
     for page, want in text.items():
         assert html_region.main_text(page, html_region.Weights(1.0, {}, {})) == want, page
+
+
+def test_texts_of_needed_documents_are_marked_without_a_shuffle_of_texts(spark):
+    """Marks of first, last, negative and widest ids; every linked copy is found and no text crosses an exchange."""
+    from labelwatch.llm import jaccard_join as jj
+
+    ids = [0, 1, -1, 32768, 2**63 - 1, -2**63, *range(1000, 1500)]
+    flags = jj.marked(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    slot = jj.id_slots(np.array(ids))
+    assert (flags[slot >> 3] >> (slot & 7) & 1).all() and np.bitwise_count(flags).sum() == len(set(slot.tolist()))
+
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(-5, words), (3, words + " x"), (2**62, "y " + words), (9, "other text " * 9), (11, None)], "doc_id long, text string")
+    meta = spark.createDataFrame([(-5, 56), (3, 57), (2**62, 57)], "doc_id long, n int").withColumn("bits", F.unhex(F.lit("FF")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen, kept = [], jj.written
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    jj.written = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df)
+    try:
+        pairs = spark.createDataFrame([(-5, 3), (3, 2**62)], "a long, b long")
+        links = {tuple(r) for r in jj.verified(docs, meta, pairs, 5, 80).collect()}
+    finally:
+        jj.written = kept
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert links == {(-5, 3), (3, 2**62)}
+    assert not any("Exchange" in p and "text#" in p for p in seen) and any("text#" in p for p in seen)
