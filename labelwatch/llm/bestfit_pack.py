@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwatch.llm.blocks import slices, written
-from labelwatch.llm.pretokens import ENCODED_BYTES, PieceEncoder
+from labelwatch.llm.pretokens import PieceEncoder
 
 SIZE = 2048
 BUCKET_ROWS = 50_000
+KNOWN_WORDS = 200_000  # kept by a task, some 150 bytes each
 
 
 @lru_cache(maxsize=2)
@@ -69,9 +70,9 @@ def _pieces(described, size: int, end_id: int):
             return np.concatenate(ids), np.concatenate(counts).astype(np.int64)
 
         specials = {t.content: i for i, t in made.get_added_tokens_decoder().items()}
-        encoder = PieceEncoder(encode, specials, byte_level=False, normal=_normal)
+        encoder = PieceEncoder(encode, specials, byte_level=False, limit=KNOWN_WORDS, normal=_normal)
         for batch in batches:
-            for part in slices(batch, limit=ENCODED_BYTES):
+            for part in slices(batch):
                 ids, edges = encoder([t or "" for t in part.column("text").to_pylist()])
                 docs = part.column("doc_id").to_pylist()
                 raw = ids.astype("<u4").tobytes()

@@ -177,3 +177,28 @@ def test_texts_of_needed_documents_are_marked_without_a_shuffle_of_texts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert links == {(-5, 3), (3, 2**62)}
     assert not any("Exchange" in p and "text#" in p for p in seen) and any("text#" in p for p in seen)
+
+
+def test_a_task_that_cuts_pieces_holds_little_of_a_large_batch():
+    """Some 8 MB of text in one batch: arrays of a slice, not of the batch; every document has its pieces."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=600)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        run = bestfit_pack._pieces(SimpleNamespace(value=f.read()), 2048, 0)
+    list(run([batch.slice(0, 1)]))  # the tokenizer and the table of classes are there once for all tasks
+    tracemalloc.start()
+    try:
+        found = [i for part in run([batch]) for i in part.column("doc_id").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert set(found) == set(range(len(texts)))
+    assert peak < 80, peak
