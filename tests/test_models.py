@@ -185,6 +185,24 @@ def test_search_draws_no_cell_twice_and_resumes(table, tmp_path, monkeypatch):
     assert fitted.getNumTrees == best["forest"]["numTrees"]
 
 
+def test_a_trial_fits_each_fold_once_and_nothing_more(table, monkeypatch):
+    """Scores are those of MLlib's cross validation, without its fit on all rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    fits, fit, parts, settled = [], RandomForestClassifier._fit, [], models.settled
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, rows: fits.append(rows.count()) or fit(self, rows))
+    monkeypatch.setattr(models, "settled", lambda *a: parts.append(settled(*a)) or parts[-1])
+    found = rounds.random_search(table, 1, 3, spaces={"forest": SPACES["forest"]}).collect()
+    dealt = models.assemble(parts[0])
+    assert len(fits) == 3 and sum(fits) == 2 * dealt.count()
+    metric = MulticlassClassificationEvaluator(labelCol="label", predictionCol="_y_forest", metricName="fMeasureByLabel", metricLabel=1.0)
+    own = models.learner("forest", 42, rounds.cell_params(SPACES["forest"], found[0].cell))
+    want = CrossValidator(estimator=own, estimatorParamMaps=[{}], evaluator=metric, numFolds=3, foldCol="fold").fit(dealt).avgMetrics[0]
+    assert found[0].mean_f1 == pytest.approx(want, abs=1e-12)
+
+
 def test_cells_are_numbered_in_mixed_radix():
     space = {"a": (1, 2, 3), "b": ("x", "y"), "c": (0.1, 0.2)}
     cells = [tuple(rounds.cell_params(space, i).values()) for i in range(12)]
