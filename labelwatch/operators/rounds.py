@@ -86,7 +86,7 @@ def progressive_removal(table: LabelledTable, target: float = TARGET_ACCURACY, m
     done = kept.table().filter(mine).orderBy("iteration").collect()
     left = [f for f in table.features if f not in {r["top_feature"] for r in done}]
     accuracy = done[-1]["accuracy"] if done else target
-    table = models.settled(table)
+    table, explained = models.settled(table), None
     for iteration in range(len(done), max_removed + 1):
         if accuracy < target or len(left) < 2:
             break
@@ -96,7 +96,9 @@ def progressive_removal(table: LabelledTable, target: float = TARGET_ACCURACY, m
         fit_seconds = time.perf_counter() - start
         scores = vote_scores(now, fitted)
         start = time.perf_counter()
-        e = models.explain_fitted(now, fitted, seed, n_explain)
+        if explained is None:  # the same rows in each round, some thousand: drawn and written once
+            explained = [models.settled(t) for t in models.explained_rows(table, seed, n_explain)]
+        e = models.explain_fitted(now, fitted, seed, n_explain, tuple(t.only(left) for t in explained))
         profile = global_importance(e.attributions.filter("member = 'ensemble'"), [])
         top = profile.orderBy(F.desc("mean_abs"), "feature").first()["feature"]
         accuracy = scores["accuracy"]

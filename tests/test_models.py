@@ -172,6 +172,13 @@ def test_a_killed_removal_goes_on(table, tmp_path, monkeypatch):
     assert fits == [3, 2, 2]
 
 
+def test_a_removal_draws_its_explained_rows_once(table, monkeypatch):
+    drawn, draw = [], models.stratified_sample
+    monkeypatch.setattr(models, "stratified_sample", lambda t, *a: drawn.append(t.features) or draw(t, *a))
+    rows = rounds.progressive_removal(table, target=0.5, max_removed=1, names=("forest",)).collect()
+    assert len(rows) == 2 and len(drawn) == 1
+
+
 def test_search_draws_no_cell_twice_and_resumes(table, tmp_path, monkeypatch):
     store = str(tmp_path / "trials")
     first = rounds.random_search(table, 2, 2, spaces=SPACES, store=store).collect()
